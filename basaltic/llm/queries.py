@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.llm import bpe_codec
+from basaltic.llm import bpe_codec, packed_ids, token_counts
 from basaltic.sources.tables import table
 
 
@@ -22,6 +22,16 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document by the compiled transducer."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), limit=2048)
+
+
+def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, packed, written and read back."""
+    return packed_ids.packed(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _pattern(), end_id=0)
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE encoding and decoding of every document."""
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
@@ -29,6 +39,8 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": op1_token_counts,
+        "op3_packed_ids": op3_packed_ids,
         "op6_byte_bpe": op6_byte_bpe,
     }
 
