@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.llm import bpe_codec, packed_ids, token_counts
+from basaltic.llm import bpe_codec, licenses, packed_ids, secrets, token_counts
 from basaltic.sources.tables import table
 
 
@@ -32,16 +32,28 @@ def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_ids.packed(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), _pattern(), end_id=0)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte-level BPE encoding and decoding of every document."""
     return bpe_codec.encode_digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.tiktoken"), _pattern())
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_packed_ids": op3_packed_ids,
+        "op5_license_scan": op5_license_scan,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_secret_scan": op7_secret_scan,
     }
 
 
