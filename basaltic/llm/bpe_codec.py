@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -13,7 +14,7 @@ from basaltic.llm.common import map_batches, texts_of
 from basaltic.llm.merges import INF, Merges
 
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-MEMO = 300_000
+MEMO = 800_000
 
 
 class Codec:
@@ -49,40 +50,41 @@ class Codec:
     def load(cls, path: str, pattern: str) -> Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        made = cls.__new__(cls)
-        made.__init__(ranks, pattern)
-        return made
+        return cls(ranks, pattern)
 
     def ids(self, piece: str) -> list[int]:
         """Token ids of one match of the pattern."""
-        text = piece.encode("utf-8", "surrogatepass").decode("latin-1")
-        whole = self.ranks.get(text.encode("latin-1"))
+        raw = piece.encode("utf-8", "surrogatepass")
+        whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        n = len(text)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, token) in self.machine.iter(text):
-            starts[end - length + 1].append((length, token))  # ends rise, so lengths rise at each start
-        fits, seen = self.merges.fits, bytearray(n + 1)
-        path: list[tuple[int, int]] = []  # (token, place after it)
-        at, options = 0, list(starts[0])
-        stack = [options]
+        n = len(raw)
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for end, match in self.machine.iter(raw.decode("latin-1")):
+            starts[end - match[0] + 1].append(match)  # ends rise, so lengths rise at each start
+        known, fits = self.merges.known.get, self.merges.fits
+        seen, tokens, places, at, last = bytearray(n + 1), [], [0], 0, -1
         while at < n:
+            options = starts[at]
             while options:
                 length, token = options.pop()
-                to = at + length
                 # a place that was reached once was reached by its only encoding; it need not be tried again
-                if not seen[to] and (not path or fits(path[-1][0], token)):
-                    seen[to] = 1
-                    path.append((token, to))
-                    at, options = to, list(starts[to]) if to < n else []
-                    stack.append(options)
-                    break
+                if not seen[at + length]:
+                    fit = last < 0 or known(last << 32 | token)
+                    if fit is None:
+                        fit = fits(last, token)
+                    if fit:
+                        at += length
+                        seen[at] = 1
+                        tokens.append(token)
+                        places.append(at)
+                        last = token
+                        break
             else:
-                stack.pop()
-                path.pop()
-                at, options = path[-1][1] if path else 0, stack[-1]
-        return [t for t, _ in path]
+                tokens.pop()
+                places.pop()
+                at, last = places[-1], tokens[-1] if tokens else -1
+        return tokens
 
     def piece(self, piece: str) -> tuple[int, str, bytes]:
         """Of one piece: number of ids, the ids as decimal text, and the bytes that the ids decode to."""
@@ -127,6 +129,12 @@ class Codec:
             yield held
 
 
+@functools.cache
+def codec(path: str, pattern: str) -> Codec:
+    """One codec for each Python worker, so that later tasks find its memory filled."""
+    return Codec.load(path, pattern)
+
+
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
@@ -135,10 +143,10 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def make():
-        codec = Codec.load(path, pattern)
+        own = codec(path, pattern)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            rows = [codec.digest(t) for t in texts_of(batch)]
+            rows = [own.digest(t) for t in texts_of(batch)]
             n, a, b = zip(*rows)
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -151,10 +159,10 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The ids themselves: doc_id and ids array<int>; the same cases as in encode_digests."""
 
     def make():
-        codec = Codec.load(path, pattern)
+        own = codec(path, pattern)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.encode(t) for t in texts_of(batch)], pa.list_(pa.int32()))], ["doc_id", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.encode(t) for t in texts_of(batch)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
         return one
 
@@ -165,10 +173,10 @@ def decode_ids(frame: DataFrame, path: str) -> DataFrame:
     """The bytes that ids stand for: doc_id and content binary. Null ids decode to nothing."""
 
     def make():
-        codec = Codec.load(path, r"\S+|\s+")
+        own = codec(path, r"\S+|\s+")
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([codec.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())], ["doc_id", "content"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())], ["doc_id", "content"])
 
         return one
 

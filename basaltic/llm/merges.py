@@ -18,7 +18,7 @@ class Merges:
         self.parts: dict[int, tuple[int, int, int]] = {}
         self._right: dict[int, tuple[list[int], list[int]]] = {}
         self._left: dict[int, tuple[list[int], list[int]]] = {}
-        self._fits: dict[int, bool] = {}
+        self.known: dict[int, bool] = {}  # a << 32 | b -> fits(a, b)
         # the two parts that a token is made of are those that lower ranks leave apart; other cuts never come up
         for (left, right), (rank, made) in sorted(rules.items(), key=lambda x: x[1][0]):
             real = all(t in singles or t in self.parts for t in (left, right))
@@ -37,12 +37,12 @@ class Merges:
     def fits(self, a: int, b: int) -> bool:
         """Whether the merges leave a and b apart when they stand side by side; memoised."""
         key = a << 32 | b
-        known = self._fits.get(key)
-        if known is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            known = self._fits[key] = self._apart(a, b)
-        return known
+        fit = self.known.get(key)
+        if fit is None:
+            if len(self.known) > 2_000_000:
+                self.known.clear()
+            fit = self.known[key] = self._apart(a, b)
+        return fit
 
     def _apart(self, a: int, b: int, below: int = INF) -> bool:
         """As fits(), where only merges of a rank below the given one take place."""
