@@ -13,6 +13,7 @@ the total whatever the grouping.
 
 from __future__ import annotations
 
+import functools
 import json
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -206,6 +207,12 @@ class Counter:
         return sum(map(self._plain, self.special_re.split(text))) + sum(1 for _ in self.special_re.finditer(text))
 
 
+@functools.cache
+def counter(path: str) -> Counter:
+    """One counter for each Python worker, so that later tasks find its states and words."""
+    return Counter(path)
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more tokens than the limit) of every whole text.
 
@@ -214,11 +221,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def make():
-        counter = Counter(path)
+        own = counter(path)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(map(counter.count, texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(map(own.count, texts), pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
         return one
 
