@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,8 +25,6 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
-        import tempfile
-
         conf = f"file://{tempfile.gettempdir()}/basaltic-shared"
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
@@ -43,8 +44,28 @@ def ready(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once for each application, so that Python workers can import it wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_basaltic_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    name = Path(tempfile.mkdtemp(prefix="basaltic-")) / "basaltic.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    context.addPyFile(str(name))
+    context._basaltic_shipped = True
+
+
+def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """mapInArrow by a function of this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
-    """mapInArrow with state that is set up once per task: make() returns the function for one record batch."""
+    """map_arrow with state that is set up once per task: make() returns the function for one record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
@@ -52,7 +73,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if batch.num_rows and (out := one(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_arrow(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

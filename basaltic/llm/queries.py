@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.llm import bpe_codec, licenses, line_rules, packed_ids, rule_ensemble, secrets, source_mix, token_counts
+from basaltic.llm import bpe_codec, cap_filters, licenses, line_rules, packed_ids, rule_ensemble, secrets, source_mix, token_counts
 from basaltic.sources.tables import table
 
 
@@ -63,6 +63,11 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mix.mix(table(spark, sf_dir, "documents"), most_times=3)
 
 
+def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all embeddings of equal label."""
+    return cap_filters.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_byte_bpe": op6_byte_bpe,
         "op7_secret_scan": op7_secret_scan,
         "op9_source_mix": op9_source_mix,
+        "op10_cap_filters": op10_cap_filters,
     }
 
 
