@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.llm import bpe_codec, cap_filters, licenses, line_rules, packed_ids, rule_ensemble, secrets, source_mix, token_counts
+from basaltic.llm import bpe_codec, cap_filters, chosen_paths, licenses, line_rules, packed_ids, rule_ensemble, secrets, source_mix, token_counts
 from basaltic.sources.tables import table
 
 
@@ -58,6 +58,11 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op8_chosen_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate documents over two-word shingles."""
+    return chosen_paths.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
 def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to the sources' target weights."""
     return source_mix.mix(table(spark, sf_dir, "documents"), most_times=3)
@@ -77,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_license_scan": op5_license_scan,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_secret_scan": op7_secret_scan,
+        "op8_chosen_paths": op8_chosen_paths,
         "op9_source_mix": op9_source_mix,
         "op10_cap_filters": op10_cap_filters,
     }

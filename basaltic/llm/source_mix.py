@@ -112,3 +112,13 @@ def mix(docs: DataFrame, most_times: int = 3, seed: str = "mix") -> DataFrame:
     taken = piece.join(times, ["s", "block"], "left").groupBy(*keys).agg(F.sum(F.col("part") * F.coalesce("times", F.lit(0))).alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
     return taken.select(*out).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out))
+
+
+def mixed(docs: DataFrame, most_times: int = 3, seed: str = "mix") -> DataFrame:
+    """The documents, with all their columns, each as often as the mix takes it: taken / size, rounded half up.
+
+    Rows of one id count together and are taken equally often; empty documents give nothing."""
+    times = mix(docs, most_times, seed).groupBy("doc_id").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
+    times = times.where("_s > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("_t") / F.col("_s") + 0.5).cast("int").alias("_times")).where("_times > 0")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    return docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id"))).select(*own, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).select(*own)
