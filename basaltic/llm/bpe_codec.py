@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from basaltic.llm.common import map_batches, texts_of
-from basaltic.llm.merges import INF, Merges
+from basaltic.llm.merges import Merges
+from basaltic.llm.splitting import splitter
 
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-MEMO = 800_000
+MEMO = 500_000
 
 
 class Codec:
@@ -22,9 +23,8 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
-        import regex
 
-        self.pattern = regex.compile(pattern)
+        self.pattern = splitter(pattern)
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.ranks = ranks
         self.merges = Merges({i for b, i in ranks.items() if len(b) == 1}, self._rules(ranks))
@@ -181,6 +181,3 @@ def decode_ids(frame: DataFrame, path: str) -> DataFrame:
         return one
 
     return map_batches(frame.select("doc_id", "ids"), make, "doc_id long, content binary")
-
-
-__all__ = ["INF", "Codec", "decode_ids", "encode_digests", "encode_ids"]

@@ -21,14 +21,11 @@ from pyspark.sql import functions as F
 
 from basaltic.llm.common import map_batches, texts_of
 from basaltic.llm.merges import Merges, byte_letters
+from basaltic.llm.splitting import ODD, splitter
 
 #: Characters of a chunk; states and words that a worker remembers before it starts anew.
 CHUNK, MOST_STATES, MEMO = 1 << 16, 400_000, 400_000
 
-#: Characters beyond these go through the library's own normaliser and splitter, which know every Unicode version's classes.
-#: Within them composition changes nothing and lower-casing is by character.
-_SETTLED = r"\x00-ʯ‐-‧‰-⁞₠-₿"
-
 
 class WordTransducer:
     """Deterministic transducer over the symbols of one word: bytes, and 256 + byte for a word's last byte."""
@@ -140,10 +137,9 @@ class Counter:
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_re = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.mark = self.special[0][:2] if self.special and len({t[:2] for t in self.special}) == 1 else ""
-        splitter = spec["pre_tokenizer"]["pretokenizers"][0]
-        assert splitter["invert"] and splitter["behavior"] == "Removed", "words are what the pattern matches"
-        self.word = regex.compile(splitter["pattern"]["Regex"])
-        self.odd = regex.compile(f"[^{_SETTLED}]")
+        cut = spec["pre_tokenizer"]["pretokenizers"][0]
+        assert cut["invert"] and cut["behavior"] == "Removed", "words are what the pattern matches"
+        self.word = splitter(cut["pattern"]["Regex"])
         self.space = regex.compile(r"\s")
         self.library = Tokenizer.from_file(path)
         self.letters = letters
@@ -198,7 +194,9 @@ class Counter:
         return sum(self.machine.count(bytes(map(self.letters.__getitem__, w))) for w, _ in words)
 
     def _plain(self, text: str) -> int:
-        return self._settled(text) if text.isascii() or not self.odd.search(text) else self._by_library(text)
+        """Within the settled range, composition changes nothing and lower-casing is by character; other texts go through the
+        library's normaliser."""
+        return self._settled(text) if text.isascii() or not ODD.search(text) else self._by_library(text)
 
     def count(self, text: str) -> int:
         """Tokens of a text; each special string in it is one token, as the library has it."""
