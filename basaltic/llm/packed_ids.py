@@ -13,6 +13,7 @@ a // size to (b - 1) // size alone, and a block is unpacked by numpy in one go.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import struct
@@ -25,11 +26,12 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.llm.common import partitions_of, shared_dir, texts_of
+from basaltic.llm.common import map_arrow, partitions_of, shared_dir, texts_of
+from basaltic.llm.splitting import splitter
 
 MAGIC, VERSION, HEAD = b"BPKD", 1, struct.Struct("<4sBBHIQQ")
 #: Ids in a block (a multiple of 8, so blocks fill whole bytes), distinct pieces a worker remembers, ids read at once.
-BLOCK, MEMO, AT_ONCE = 4096, 300_000, 1 << 21
+BLOCK, MEMO, AT_ONCE = 4096, 300_000, 1 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -139,42 +141,60 @@ class Encoder:
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pattern = regex.compile(pattern)
+        self.pattern = splitter(pattern)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bits = width(self.library.get_vocab_size(with_added_tokens=True))
         self.memo: dict[str, bytes] = {}
+        self.bytes_in = np.zeros(1 << self.bits, np.int64)  # of each id; the vocabulary spells a byte with one letter
+        for token, i in self.library.get_vocab(with_added_tokens=True).items():
+            self.bytes_in[i] = len(token)
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.memo) + len(pieces) > MEMO:
-            self.memo.clear()
+        """Remembers the ids of pieces. Those that are a space and letters go to the library in one string, which it cuts
+        before each space as it would apart; the byte lengths of the ids then say which belong to which piece."""
+        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        if len(words) > 8:
+            ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            token_ends = np.cumsum(self.bytes_in[ids])
+            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in words])
+            cuts = np.searchsorted(token_ends, ends)
+            if cuts[-1] < len(token_ends) and (token_ends[cuts] == ends).all():
+                raw, at = ids.tobytes(), 0
+                for p, cut in zip(words, (4 * cuts + 4).tolist()):
+                    self.memo[p] = raw[at:cut]
+                    at = cut
+                pieces = [p for p in pieces if p not in self.memo]
         for p, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
             self.memo[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
+        """The ids of each text."""
+        out, known = [], self.memo.get
         for text in texts:
             if any(s in text for s in self.special):
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, "<u4"))
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4"))
                 continue
             pieces = self.pattern.findall(text)
-            try:
-                ids = b"".join(map(self.memo.__getitem__, pieces))
-            except KeyError:
-                self._learn([p for p in dict.fromkeys(pieces) if p not in self.memo])
-                try:
-                    ids = b"".join(map(self.memo.__getitem__, pieces))
-                except KeyError:  # the memory has just been cleared
-                    self._learn([p for p in dict.fromkeys(pieces) if p not in self.memo])
-                    ids = b"".join(map(self.memo.__getitem__, pieces))
-            out.append(np.frombuffer(ids, "<u4"))
+            ids = list(map(known, pieces))
+            if None in ids:
+                if len(self.memo) > MEMO:
+                    self.memo.clear()
+                    ids = [None] * len(pieces)
+                self._learn(list({p for p, i in zip(pieces, ids) if i is None}))
+                ids = list(map(known, pieces))
+            out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
 
+@functools.cache
+def encoder(path: str, pattern: str) -> Encoder:
+    """One encoder for each Python worker, so that later tasks find its memory filled."""
+    return Encoder(path, pattern)
+
+
 def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0) -> list[tuple[int, str, int, int, int]]:
     """Encodes every whole text, appends end_id, and writes a store to the folder, a URI that all executors reach.
 
@@ -188,7 +208,7 @@ def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
         from pyspark import TaskContext
 
         sink = name = writer = None
-        encoder = Encoder(path, pattern)
+        coder = encoder(path, pattern)
         store, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             if writer is None and batch.num_rows:
@@ -196,10 +216,10 @@ def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
                 name = f"{root}/shard-{part:06d}-{uuid.uuid4().hex}.bits"
                 store.create_dir(root, recursive=True)
                 sink = store.open_output_stream(name)
-                writer = ShardWriter(sink, encoder.bits)
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encoder.encode(texts_of(some))):
+                writer = ShardWriter(sink, coder.bits)
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                for doc, ids in zip(some.column("doc_id").to_pylist(), coder.encode(texts_of(some))):
                     writer.add(doc, np.append(ids, np.uint32(end_id)))
         if writer is not None:
             ids, count = writer.close()
@@ -208,7 +228,7 @@ def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
 
     rows = docs.select("doc_id", "text")
     dealt = rows.repartitionByRange(partitions_of(rows), "doc_id").sortWithinPartitions("doc_id", "text")
-    made = sorted(dealt.mapInArrow(write, "shard long, file string, ids long, docs long").collect())
+    made = sorted(map_arrow(dealt, write, "shard long, file string, ids long, docs long").collect())
     manifest, start = [], 0
     for shard, name, ids, count in made:
         manifest.append((shard, name, start, ids, count))
@@ -234,7 +254,7 @@ def read_back(spark: SparkSession, folder: str, manifest: list[tuple[int, str, i
     shards = spark.createDataFrame([m[1:3] for m in manifest], "file string, start long")
     if manifest:
         shards = shards.repartition(len(manifest))
-    return shards.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(shards, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def packed(docs: DataFrame, path: str, pattern: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
