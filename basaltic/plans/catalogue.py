@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.plans import bodies
+from basaltic.plans import bodies, naming, strings
 
-MODULES = (bodies,)
+MODULES = (bodies, strings, naming)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
