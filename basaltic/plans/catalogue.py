@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.plans import bodies, naming, strings
+from basaltic.plans import bodies, naming, routes, strings
 
-MODULES = (bodies, strings, naming)
+MODULES = (bodies, strings, naming, routes)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
