@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.plans import bodies, events, naming, routes, strings
+from basaltic.plans import bodies, events, naming, routes, sources, strings
 
-MODULES = (bodies, strings, naming, routes, events)
+MODULES = (bodies, strings, naming, routes, events, sources)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
