@@ -20,7 +20,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import connected, map_arrow, map_batches, stored, texts_of
@@ -31,6 +30,8 @@ PLACES, NODE, ACROSS = 128, 128, 256
 MISS, MORE_LEVELS = 1e-5, 6
 #: Shares of nodes that pick one place and two: 1.25 children for each member on the average, for a similarity of 0.8.
 _TWO = 4
+#: Bits of the map of ids that texts are fetched by.
+FILTER_BITS = 1 << 24
 #: Distinct words whose hashes a worker remembers.
 MEMO = 400_000
 
@@ -95,23 +96,26 @@ def digest(hashes: bytes) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the set), d (digest of the set; null if empty) and sketch."""
+    """doc_id, n (size of the set), d (digest of the set; null if empty), sketch and s, a byte of each of its places."""
 
     def make():
         own = shingles(words)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, d, s = [], [], []
+            n, d, s, short = [], [], [], []
             for text in texts_of(batch):
                 h = own.of(text)
                 n.append(len(h))
                 d.append(digest(h.tobytes()) if len(h) else None)
-                s.append(own.sketch(h).tobytes() if len(h) else None)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d, pa.binary()), pa.array(s, pa.binary())], ["doc_id", "n", "d", "sketch"])
+                least = own.sketch(h) if len(h) else None
+                s.append(least.tobytes() if len(h) else None)
+                short.append(least.astype("u1").tobytes() if len(h) else None)
+            binary = [pa.array(x, pa.binary()) for x in (d, s, short)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *binary], ["doc_id", "n", "d", "sketch", "s"])
 
         return one
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, d binary, sketch binary")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, d binary, sketch binary, s binary")
 
 
 def branch(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,108 +183,166 @@ def next_nodes(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return map_batches(rows.select("p", "id").join(reps.select("id", "sketch"), "id"), make, "p long, id long").distinct()
 
 
-def compared(rows: DataFrame, least: int, across: bool) -> DataFrame:
-    """From rows (g, p, id, s) and, if across, part and minor: candidate pairs a < b with e, the equal places of s.
+def runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """Calls work on batches cut so that no run of equal g is split; g is sorted. A batch's last run may go on in the next one."""
+    held: list[pa.RecordBatch] = []
 
-    Within each g. Across: all pairs of unlike parts of which one is minor. Else: each member's most similar earlier member, and
-    a row with b null and a = p for a group that has further candidates.
-    """
-
-    def pairs(p: int, ids: np.ndarray, s: np.ndarray, part: np.ndarray | None, minor: np.ndarray | None) -> list[np.ndarray]:
-        order = np.argsort(ids, kind="stable")
-        ids, s, out = ids[order], s[order], []
-        if part is not None:
-            part, minor = part[order], minor[order]
-        for lo in range(0, len(ids), NODE):  # a block of rows against all before and in it
-            hi = min(len(ids), lo + NODE)
-            e = (s[lo:hi, None] == s[None, :hi]).sum(axis=2, dtype=np.int16)
-            e[np.arange(hi)[None, :] >= np.arange(lo, hi)[:, None]] = 0
-            if part is not None:
-                e[part[lo:hi, None] == part[None, :hi]] = 0
-                e[~(minor[lo:hi, None] | minor[None, :hi])] = 0
-                b, a = np.nonzero(e >= least)
-            else:
-                a = e.argmax(axis=1)
-                b = np.flatnonzero(e[np.arange(hi - lo), a] >= least)
-                a = a[b]
-                if (e >= least).sum() > len(b):
-                    out.append(np.array([[p], [-1], [0]]))
-            out.append(np.stack([ids[a], ids[lo + b], e[b, a].astype(np.int64)]))
-        return out
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def work(t: pa.Table) -> pa.RecordBatch | None:
-            g, p, ids = (t.column(c).to_numpy() for c in ("g", "p", "id"))
-            s = np.frombuffer(b"".join(t.column("s").to_pylist()), "u1").reshape(-1, PLACES)
-            part, minor = (t.column("part").to_numpy(), t.column("minor").to_numpy(zero_copy_only=False)) if across else (None, None)
-            cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-            size = np.diff(cuts)
-            i = cuts[:-1][size == 2]  # most groups are pairs: all at once
-            e = (s[i] == s[i + 1]).sum(axis=1)
-            ok = (e >= least) & (ids[i] != ids[i + 1])
-            if across:
-                ok &= (part[i] != part[i + 1]) & (minor[i] | minor[i + 1])
-            i, e = i[ok], e[ok]
-            out = [np.stack([np.minimum(ids[i], ids[i + 1]), np.maximum(ids[i], ids[i + 1]), e])]
-            for lo, hi in zip(cuts[:-1][size > 2].tolist(), cuts[1:][size > 2].tolist()):
-                out += pairs(p[lo], ids[lo:hi], s[lo:hi], part[lo:hi] if across else None, minor[lo:hi] if across else None)
-            a, b, e = np.concatenate(out, axis=1).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], ["a", "b", "e"]) if len(a) else None
-
-        # a batch's last group may go on in the next one
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            g = batch.column("g").to_numpy()
-            last = int(np.flatnonzero(g != g[-1])[-1]) + 1 if (g != g[-1]).any() else 0
-            if last:
-                held.append(batch.slice(0, last))
-                if (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
-                    yield out
-                held = []
-            elif held and held[-1].column("g")[-1].as_py() != g[0]:
-                if (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
-                    yield out
-                held = []
-            held.append(batch.slice(last))
+    def flush() -> Iterator[pa.RecordBatch]:
         if held and (out := work(pa.Table.from_batches(held).combine_chunks())) is not None:
             yield out
-
-    return map_arrow(rows.repartition("g").sortWithinPartitions("g"), run, "a long, b long, e long")
+        held.clear()
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        g = batch.column("g").to_numpy()
+        if held and held[-1].column("g")[-1].as_py() != g[0]:
+            yield from flush()
+        other = np.flatnonzero(g != g[-1])
+        if len(other):
+            last = int(other[-1]) + 1
+            held.append(batch.slice(0, last))
+            yield from flush()
+            batch = batch.slice(last)
+        held.append(batch)
+    yield from flush()
+
+
+def _groups(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids and short sketches of a table, and where its runs of g begin and end."""
+    g = t.column("g").to_numpy()
+    cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+    s = np.frombuffer(b"".join(t.column("s").to_pylist()), "u1").reshape(-1, PLACES)
+    return t.column("id").to_numpy(), s, cuts[:-1], cuts[1:]
+
+
+def forests(rows: DataFrame, least: int) -> DataFrame:
+    """From rows (g, p, id, s): p, a, b and e, the equal places of s, of each member b's most similar earlier member a within
+    its g; and a row with a and b null for a g with further candidates."""
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        ids, s, begin, end = _groups(t)
+        p = t.column("p").to_numpy()
+        pair = begin[end - begin == 2]  # most groups are pairs: all at once
+        e = (s[pair] == s[pair + 1]).sum(axis=1)
+        pair, e = pair[(e >= least) & (ids[pair] != ids[pair + 1])], e[(e >= least) & (ids[pair] != ids[pair + 1])]
+        out = [np.stack([p[pair], np.minimum(ids[pair], ids[pair + 1]), np.maximum(ids[pair], ids[pair + 1]), e])]
+        more: list[int] = []
+        for lo, hi in zip(begin[end - begin > 2].tolist(), end[end - begin > 2].tolist()):
+            order = lo + np.argsort(ids[lo:hi], kind="stable")
+            own, sketch = ids[order], s[order]
+            extra = False
+            for at in range(0, hi - lo, NODE):  # a block of members against all before them
+                to = min(hi - lo, at + NODE)
+                e = (sketch[at:to, None] == sketch[None, :to]).sum(axis=2, dtype=np.int16)
+                e[np.arange(to)[None, :] >= np.arange(at, to)[:, None]] = 0
+                a = e.argmax(axis=1)
+                b = np.flatnonzero(e[np.arange(to - at), a] >= least)
+                out.append(np.stack([np.full(len(b), p[lo]), own[a[b]], own[at + b], e[b, a[b]].astype(np.int64)]))
+                extra = extra or int((e >= least).sum()) > len(b)
+            if extra:
+                more.append(p[lo])
+        node, a, b, e = np.concatenate(out, axis=1).astype(np.int64)
+        nulls = pa.nulls(len(more), pa.int64())
+        columns = [pa.concat_arrays([pa.array(x), y]) for x, y in zip((node, a, b, e), (pa.array(more, pa.int64()), nulls, nulls, nulls))]
+        return pa.RecordBatch.from_arrays(columns, ["p", "a", "b", "e"]) if len(columns[0]) else None
+
+    return map_arrow(rows.repartition("g").sortWithinPartitions("g"), lambda batches: runs(batches, work), "p long, a long, b long, e long")
+
+
+def _crossing(s: np.ndarray, part: np.ndarray, minor: np.ndarray, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of one group, each minor member with the members of other parts that its sketch is like; a pair of minors once."""
+    for i in np.flatnonzero(minor):
+        like = (part != part[i]) & ~(minor & (np.arange(len(part)) < i))
+        at = np.flatnonzero(like)
+        at = at[(s[at] == s[i]).sum(axis=1) >= least]
+        if len(at):
+            yield int(i), at
+
+
+def involved(rows: DataFrame, least: int) -> DataFrame:
+    """From rows (g, id, part, minor, s): those that are in any candidate pair across parts within their g. Rows, not pairs."""
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        _, s, begin, end = _groups(t)
+        part, minor = t.column("part").to_numpy(), t.column("minor").to_numpy(zero_copy_only=False)
+        keep = np.zeros(len(part), bool)
+        for lo, hi in zip(begin.tolist(), end.tolist()):
+            for i, at in _crossing(s[lo:hi], part[lo:hi], minor[lo:hi], least):
+                keep[lo + i] = True
+                keep[lo + at] = True
+        return t.filter(pa.array(keep)).select(["g", "id", "part", "minor", "s"]).combine_chunks().to_batches()[0] if keep.any() else None
+
+    return map_arrow(rows.repartition("g").sortWithinPartitions("g"), lambda batches: runs(batches, work), "g long, id long, part long, minor boolean, s binary")
+
+
+def meet(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union, of ascending distinct numbers."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(both) - common)
+
+
+def joined_parts(rows: DataFrame, least: int, percent: int) -> DataFrame:
+    """From rows (g, id, part, minor, s, set): links a, b confirmed on the full sets that join parts within their g. Pairs of
+    parts that have been joined are not looked at again, so there are fewer links than rows."""
+
+    def work(t: pa.Table) -> pa.RecordBatch | None:
+        ids, s, begin, end = _groups(t)
+        part, minor = t.column("part").to_numpy().copy(), t.column("minor").to_numpy(zero_copy_only=False)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
+        out = []
+        for lo, hi in zip(begin.tolist(), end.tolist()):
+            own = part[lo:hi]
+            for i, at in _crossing(s[lo:hi], own.copy(), minor[lo:hi], least):
+                like = (s[lo + at] == s[lo + i]).sum(axis=1)
+                for j in at[np.argsort(-like, kind="stable")]:
+                    if own[j] != own[i] and meet(sets[lo + i], sets[lo + j], percent):
+                        out.append((ids[lo + i], ids[lo + j]))
+                        own[own == own[j]] = own[i]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"]) if out else None
+
+    return map_arrow(rows.repartition("g").sortWithinPartitions("g"), lambda batches: runs(batches, work), "a long, b long")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """id and set, the full set of shingle hashes, of the representatives with the given id and class digest d.
 
-    Of several rows with one id, those count whose set has that digest."""
+    A bit map of FILTER_BITS hashed ids, a bounded size whatever the input, keeps most other texts from being handled and all texts
+    from being shuffled; what passes it is joined to the ids. Of several rows with one id, those count whose set has the digest.
+    """
+    bit = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
+    words_of_map = ids.select(F.floor(bit / 32).cast("int").alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (bit % 32).cast("int")).alias("m")).groupBy("w").agg(F.bit_or("m").alias("m"))
+    held = words_of_map.toArrow()  # at most FILTER_BITS / 32 rows
+    table = np.zeros(FILTER_BITS // 32, np.uint32)
+    table[held.column("w").to_numpy()] = held.column("m").to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def make():
-        own = shingles(words)
+        own, bits = shingles(words), np.frombuffer(shared.value, np.uint32)
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            b = batch.column("b").to_numpy()
+            batch = batch.filter(pa.array((bits[b // 32] >> (b % 32).astype(np.uint32)) & np.uint32(1)).cast(pa.bool_()))
             sets = [own.of(t).tobytes() for t in texts_of(batch)]
-            keep = [i for i, (h, d) in enumerate(zip(sets, batch.column("d").to_pylist())) if digest(h) == d]
-            return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(keep, pa.int64())), pa.array([sets[i] for i in keep], pa.binary())], ["id", "set"])
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(map(digest, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "d", "set"])
 
         return one
 
-    found = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id")
-    return map_batches(found.select("id", "d", "text"), make, "id long, set binary")
+    found = map_batches(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").withColumn("b", bit), make, "id long, d binary, set binary")
+    return found.join(ids.select("id", "d"), ["id", "d"]).select("id", "set")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets meet in at least percent of their union, by 100 * intersection >= percent * union."""
+    """The pairs a, b whose sets meet in at least percent of their union."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("set_a"), batch.column("set_b"))):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if 100 * both >= percent * (len(x) + len(y) - both):
-                    keep.append(i)
+            both = zip(batch.column("set_a"), batch.column("set_b"))
+            keep = [i for i, (x, y) in enumerate(both) if meet(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)]
             return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
         return one
@@ -300,77 +362,61 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     """
     least = max(1, math.ceil(PLACES * (percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / PLACES))))
     rows = stored(sketches(docs, words), "sketches")
-    classes = rows.where("d is not null and doc_id is not null").groupBy("d").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"))
-    reps = stored(classes, "classes")
-    short = F.expr(f"array_join(transform(sequence(0, {PLACES - 1}), i -> substr(hex(sketch), 8 * i + 1, 2)), '')")
-    reps_s = reps.select("id", F.unhex(short).alias("s"))
+    whole = rows.where("d is not null and doc_id is not null")
+    reps = stored(whole.groupBy("d").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("s").alias("s")), "classes")
     trees, levels = forest_size(reps.count(), percent / 100)
     every = stored(first_nodes(reps, trees, levels), "nodes")
     sizes = every.groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
     nodes = stored(every.join(sizes, "p"), "shared")
 
-    # forests of the most similar pairs, in nodes or chunks of nodes
+    # forests of the most similar pairs, in nodes or chunks of nodes; each member's best pair is confirmed
     chunk = F.pmod(F.xxhash64("id", "p"), F.ceil(F.col("c") / NODE))
-    proposed = compared(nodes.select(F.xxhash64("p", chunk).alias("g"), "p", "id").join(reps_s, "id"), least, across=False)
-    proposed = stored(proposed, "proposed")
-    tried = stored(proposed.where("b >= 0").groupBy("a", "b").agg(F.max("e").alias("e")), "pairs")
-    wanted = tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct()
-    ids = stored(wanted.join(reps.select("id", "d"), "id"), "wanted")
-    sets = stored(full_sets(docs, ids, words), "sets")
-    best = tried.groupBy("b").agg(F.max_by("a", F.struct("e", "a")).alias("a")).select("a", "b")
+    short = reps.select("id", "s")
+    proposed = stored(forests(nodes.select(F.xxhash64("p", chunk).alias("g"), "p", "id").join(short, "id"), least), "proposed")
+    best = stored(proposed.where("b is not null").groupBy("b").agg(F.max_by("a", F.struct("e", "a")).alias("a")), "best")
+    sets = _sets_of(docs, best.select(F.col("a").alias("id")).union(best.select("b")), reps, words)
     links = stored(confirmed(best, sets, percent), "links")
-    links, parts = _settle(links, tried.join(best, ["a", "b"], "left_anti"), sets, percent)
+    parts = connected(links)
 
-    # nodes with further candidates, and large ones: what lies across components
-    open_nodes = proposed.where("b < 0").select(F.col("a").alias("p")).union(sizes.where(F.col("c") > NODE).select("p")).distinct()
-    front = nodes.select("p", "id").join(open_nodes, "p", "left_semi")
+    # nodes whose candidates lie across components, and large nodes: what joins components there
+    named = proposed.join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    apart = named.where(F.col("b").isNull() | (F.coalesce("ca", "a") != F.coalesce("cb", "b"))).select("p")
+    front = nodes.where(F.col("c") > NODE).select("p", "id").union(nodes.where(F.col("c") <= NODE).select("p", "id").join(apart.distinct(), "p", "left_semi"))
     for level in range(MORE_LEVELS + 1):
-        parted = front.join(parts.select("id", "component"), "id", "left").select("p", "id", F.coalesce("component", "id").alias("part"))
+        parted = front.join(parts, "id", "left").select("p", "id", F.coalesce("component", "id").alias("part"))
         counts = parted.groupBy("p", "part").agg(F.count("*").alias("k"))
         stats = counts.groupBy("p").agg(F.sum("k").alias("c"), F.sum(F.col("k") * F.col("k")).alias("q"), F.max_by("part", F.struct("k", "part")).alias("main"))
         stats = stats.where("c * c > q").withColumn("go", ((F.col("c") * F.col("c") - F.col("q")) / 2 <= ACROSS * F.col("c")) | F.lit(level == MORE_LEVELS))
         state = stored(parted.join(stats, "p"), "across")
+        # the minor members of a large node meet every chunk of it
         now = state.where("go").withColumn("minor", F.col("part") != F.col("main")).withColumn("chunks", F.ceil(F.col("c") / (4 * NODE)))
         mine = F.pmod(F.xxhash64("id", "p"), F.col("chunks"))
         spread = now.withColumn("chunk", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(mine))))
-        found = compared(spread.select(F.xxhash64("p", "chunk").alias("g"), "p", "id", "part", "minor").join(reps_s, "id"), least, across=True)
-        found = stored(found.groupBy("a", "b").agg(F.max("e").alias("e")), "crossing")
-        if not found.isEmpty():
-            more = found.select(F.col("a").alias("id")).union(found.select("b")).distinct().join(sets.select("id"), "id", "left_anti")
-            more = stored(full_sets(docs, stored(more.join(reps.select("id", "d"), "id"), "wanted"), words), "sets")
+        met = stored(involved(spread.select(F.xxhash64("p", "chunk").alias("g"), "id", "part", "minor").join(short, "id"), least), "involved")
+        if not met.isEmpty():
+            more = _sets_of(docs, met.select("id").join(sets.select("id"), "id", "left_anti"), reps, words)
             sets = sets.unionByName(more)
-            links, parts = _settle(links, found, sets, percent)
-        front = stored(next_nodes(state.where("not go"), reps), "front")
-        if front.isEmpty():
+            new = stored(joined_parts(met.join(sets, "id"), least, percent), "links")
+            if not new.isEmpty():
+                links = links.unionByName(new)
+                parts = connected(links)
+        deeper = state.where("not go")
+        if level == MORE_LEVELS or deeper.isEmpty():
             break
+        front = stored(next_nodes(deeper, reps), "front")
 
-    named = reps.select("d", "id").join(parts, "id", "left").select(F.col("d").alias("_d"), F.coalesce("component", "id").alias("component"))
+    part_of = reps.select("d", "id").join(parts, "id", "left").select(F.col("d").alias("_d"), F.coalesce("component", "id").alias("component"))
     part = F.coalesce("component", "doc_id")
-    out = rows.select("doc_id", "n", "d").join(named, F.col("d") == F.col("_d"), "left")
+    out = rows.select("doc_id", "n", "d").join(part_of, F.col("d") == F.col("_d"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), part.alias("component_id"), F.coalesce(part == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _sets_of(docs: DataFrame, ids: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """The stored full sets of representatives."""
+    return stored(full_sets(docs, stored(reps.select("id", "d").join(ids.distinct(), "id"), "wanted"), words), "sets")
+
+
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, that stand for their component. Rows with a null id stay."""
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
-
-
-def _settle(links: DataFrame, pairs: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Confirms those pairs that lie across components, a few of each member first; (all links, components)."""
-    parts = stored(connected(links), "parts")
-    left = pairs
-    for most in (4, None):
-        named = left.join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        across = named.select("a", "b", "e", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        if most:
-            ranked = across.withColumn("r", F.row_number().over(W.partitionBy("b", "ca").orderBy(F.desc("e"), "a")))
-            across = stored(ranked, "across")
-            some, left = across.where(F.col("r") <= most), across.where(F.col("r") > most).select("a", "b", "e")
-        else:
-            some = across
-        new = stored(confirmed(some, sets, percent), "links")
-        if not new.isEmpty():
-            links = links.unionByName(new)
-            parts = stored(connected(links), "parts")
-    return links, parts

@@ -2,34 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basaltic.session import shared_dir, ship
+
 #: White space as the contracts define it, as a regular-expression class body.
 SPACE = r"\x20\x09-\x0D"
 #: Characters of text handled at once in a Python worker.
 SLICE_CHARS = 8_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: the session's spark.checkpoint.dir, or one of our own where unset."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = spark.sparkContext.getCheckpointDir()
-    if not conf:
-        conf = f"file://{tempfile.gettempdir()}/basaltic-shared"
-        spark.sparkContext.setCheckpointDir(conf)
-    return conf.rstrip("/")
-
-
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Writes a frame as Parquet in the shared folder and reads it back; this cuts lineage and outlives executors."""
     spark = df.sparkSession
@@ -38,26 +26,6 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ready(spark: SparkSession) -> None:
-    """Makes sure checkpoint() has a folder."""
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-
-
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors once for each application, so that Python workers can import it wherever they run."""
-    context = spark.sparkContext
-    if getattr(context, "_basaltic_shipped", False):
-        return
-    top = Path(__file__).resolve().parents[1]
-    name = Path(tempfile.mkdtemp(prefix="basaltic-")) / "basaltic.zip"
-    with zipfile.ZipFile(name, "w") as z:
-        for f in sorted(top.rglob("*.py")):
-            z.write(f, f.relative_to(top.parent))
-    context.addPyFile(str(name))
-    context._basaltic_shipped = True
-
-
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow by a function of this package."""
     ship(df.sparkSession)
@@ -113,11 +81,10 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Alternates two map-reduce steps on edges: each node hooks its larger, then its smaller neighbours on to the smallest
     node it sees. The number of rounds grows with the logarithm of a component's size; a hub costs one aggregated row.
-    Every round is checkpointed, so lost executors cost one round. Null ends and loops count as no link.
+    Every round is written to the shared folder, so lost executors cost one round. Null ends and loops count as no link.
     """
-    spark = edges.sparkSession
-    ready(spark)
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u > v").distinct().checkpoint()
+    ends = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    pairs = stored(ends.where("u is not null and v is not null and u > v").distinct(), "pairs")
     before = None
     while True:
         # every node's larger neighbours hook on to its smallest neighbour (or itself)
@@ -128,7 +95,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         # every node's smaller neighbours and the node itself hook on to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        pairs = small.where("u > v").distinct().checkpoint()
+        pairs = stored(small.where("u > v").distinct(), "pairs")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
