@@ -68,7 +68,7 @@ def composition(rows: DataFrame, keys: list[Column], size: Column, position: Col
 def highest_framework(names: DataFrame, name: str, default: str = "10.0") -> DataFrame:
     """One row: the highest number among net<number> folder names, with one decimal."""
     number = F.regexp_extract(F.col(name), r"^net(\d+(?:\.\d+)?)", 1).try_cast("double")
-    return names.agg(F.coalesce(F.format_string("%.1f", F.max(number)), F.lit(default)).alias("version"))
+    return names.agg(F.when(F.max(number).isNull(), F.lit(default)).otherwise(F.format_string("%.1f", F.max(number))).alias("version"))
 
 
 def key_scores(units: DataFrame, group: str, unit: str, candidates: int = 256) -> DataFrame:

@@ -38,7 +38,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType, require
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, n and line of text files, numbered within each file."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     return whole.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from basaltic.operators.timeline import mapped_stage
 
 STATUS = "run long, phase string, target string, files_total long, stage string, events long"
-_STATE = "phase string, target string, files_total long, stage string, events long, at long"
+_STATE = "phase string, phase_at long, target string, target_at long, files_total long, files_total_at long, stage string, stage_at long, events long"
 
 
 def event_source(spark: SparkSession, path: str, schema, files_a_batch: int = 1, form: str = "json") -> DataFrame:
@@ -24,21 +24,21 @@ def fold_status(events: DataFrame, run: str = "run", position: str = "position")
     """The status of each run after each batch: last phase, last non-empty target, last non-zero total, stage (kept over phases
     that have none), number of events. events has run, position, phase, target and files_total.
 
-    State is one small row for each run, whatever the number of events; within a batch events count in the order of position.
+    State is one small row for each run, whatever the number of events. Each field keeps the position that it comes from, so events
+    may arrive in any order.
     """
+    fields = ("phase", "target", "files_total", "stage")
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        phase, target, total, stage, events, at = state.get if state.exists else ("", "", 0, "", 0, -1)
-        every = pd.concat(list(frames)).sort_values("position")
-        for row in every.itertuples():
-            if row.position >= at:
-                at, phase = row.position, row.phase
-                target = row.target or target
-                total = row.files_total or total
-                stage = row.stage or stage
-            events += 1
-        state.update((phase, target, int(total), stage, int(events), int(at)))
-        yield pd.DataFrame([(key[0], phase, target, int(total), stage, int(events))], columns=["run", "phase", "target", "files_total", "stage", "events"])
+        held = list(state.get) if state.exists else ["", -1, "", -1, 0, -1, "", -1, 0]
+        for row in pd.concat(list(frames)).itertuples():
+            for k, name in enumerate(fields):
+                value = getattr(row, name)
+                if row.position >= held[2 * k + 1] and (value or name == "phase"):
+                    held[2 * k : 2 * k + 2] = [value if isinstance(value, str) else int(value), int(row.position)]
+            held[8] += 1
+        state.update(tuple(held))
+        yield pd.DataFrame([(key[0], *held[0:8:2], held[8])], columns=["run", *fields, "events"])
 
     ready = events.select(
         F.col(run).cast("long").alias("run"),
