@@ -203,5 +203,6 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents, with all their columns, whose score reaches the threshold."""
     own = docs.columns
-    with_stats = statistics(docs)
-    return with_stats.where(model.column() >= threshold).select(*(F.col(f"`{c}`") for c in own))
+    # the partition's number keeps the filter above the statistics: pushed below, it would spell them out once for each condition
+    with_stats = statistics(docs).withColumn("_part", F.spark_partition_id())
+    return with_stats.where((model.column() >= threshold) & (F.col("_part") >= 0)).select(*(F.col(f"`{c}`") for c in own))
