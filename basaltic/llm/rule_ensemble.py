@@ -153,11 +153,12 @@ def lasso(z: np.ndarray, y: np.ndarray, penalty: float, steps: int = 400) -> tup
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, seed: int = 7) -> Model:
-    """A model from statistics and 0/1 labels; with no label or one kind of label, a smoothed rate without rules."""
+    """A model from statistics and 0/1 labels; with few labels or one kind of label, a smoothed rate without rules."""
     n, ones = len(y), float(y.sum())
+    rate = (ones + 1) / (n + 2)
+    plain = Model(float(np.log(rate / (1 - rate))), ())
     if not 0 < ones < n:
-        rate = (ones + 1) / (n + 2)
-        return Model(float(np.log(rate / (1 - rate))), ())
+        return plain
     rng, paths = np.random.default_rng(seed), set()
     for _ in range(TREES):
         rows = rng.choice(n, n)
@@ -165,6 +166,8 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, seed: int = 7) -> M
         even = np.where(y[rows] == 1, 0.5 / ones, 0.5 / (n - ones))  # both kinds weigh the same in a tree
         grow(x[rows], y[rows], even, columns, DEPTH, (), paths)
     rules = sorted({tightest(p) for p in paths})
+    if not rules:  # too few rows for any split
+        return plain
     z = np.array([holds(x, r) for r in rules], float).T
     _, first = np.unique(z, axis=1, return_index=True)  # rules that hold of the same rows are one
     rules, z = [rules[i] for i in sorted(first)], z[:, sorted(first)]
@@ -202,7 +205,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3, folds: int = 5
 
 def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """The documents, with all their columns, whose score reaches the threshold."""
-    own = docs.columns
-    # the partition's number keeps the filter above the statistics: pushed below, it would spell them out once for each condition
-    with_stats = statistics(docs).withColumn("_part", F.spark_partition_id())
-    return with_stats.where((model.column() >= threshold) & (F.col("_part") >= 0)).select(*(F.col(f"`{c}`") for c in own))
+    # whole rows ride along as one struct, so no column's name can clash; the partition's number keeps the filter above the
+    # statistics: pushed below, it would spell them out once for each condition
+    rows = docs.select("text", F.struct("*").alias("row"))
+    with_stats = statistics(rows).withColumn("part", F.spark_partition_id())
+    return with_stats.where((model.column() >= threshold) & (F.col("part") >= 0)).select("row.*")
