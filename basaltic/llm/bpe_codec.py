@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basaltic.llm.common import map_batches, texts_of
+from basaltic.llm.common import map_batches, texts_of, tool
 from basaltic.llm.merges import Merges
 from basaltic.llm.splitting import splitter
 
 #: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-MEMO = 500_000
+MEMO = 150_000
 
 
 class Codec:
@@ -129,12 +128,6 @@ class Codec:
             yield held
 
 
-@functools.cache
-def codec(path: str, pattern: str) -> Codec:
-    """One codec for each Python worker, so that later tasks find its memory filled."""
-    return Codec.load(path, pattern)
-
-
 def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
@@ -143,7 +136,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def make():
-        own = codec(path, pattern)
+        own = tool(Codec.load, path, pattern)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [own.digest(t) for t in texts_of(batch)]
@@ -159,7 +152,7 @@ def encode_ids(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The ids themselves: doc_id and ids array<int>; the same cases as in encode_digests."""
 
     def make():
-        own = codec(path, pattern)
+        own = tool(Codec.load, path, pattern)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.encode(t) for t in texts_of(batch)], pa.list_(pa.int32()))], ["doc_id", "ids"])
@@ -173,7 +166,7 @@ def decode_ids(frame: DataFrame, path: str) -> DataFrame:
     """The bytes that ids stand for: doc_id and content binary. Null ids decode to nothing."""
 
     def make():
-        own = codec(path, r"\S+|\s+")
+        own = tool(Codec.load, path, r"\S+|\s+")
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.decode(x or []) for x in batch.column("ids").to_pylist()], pa.binary())], ["doc_id", "content"])

@@ -12,7 +12,6 @@ pairs across components can matter: few members against all the rest. Nodes with
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import connected, map_arrow, map_batches, stored, texts_of
+from basaltic.llm.common import connected, map_arrow, map_batches, stored, texts_of, tool
 
 #: Places of a sketch; members of a node that are compared at once; pairs across components for each member of a large node.
 PLACES, NODE, ACROSS = 128, 128, 256
@@ -33,7 +32,7 @@ _TWO = 4
 #: Bits of the map of ids that texts are fetched by.
 FILTER_BITS = 1 << 24
 #: Distinct words whose hashes a worker remembers.
-MEMO = 400_000
+MEMO = 200_000
 
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
@@ -84,12 +83,6 @@ class Shingles:
         return (_mix(least) >> np.uint64(32)).astype("<u4")
 
 
-@functools.cache
-def shingles(words: int) -> Shingles:
-    """One for each Python worker, so that later tasks find its memory filled."""
-    return Shingles(words)
-
-
 def digest(hashes: bytes) -> bytes:
     """Names a set by the bytes of its ascending hashes."""
     return hashlib.blake2b(hashes, digest_size=16).digest()
@@ -99,7 +92,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n (size of the set), d (digest of the set; null if empty), sketch and s, a byte of each of its places."""
 
     def make():
-        own = shingles(words)
+        own = tool(Shingles, words)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             n, d, s, short = [], [], [], []
@@ -322,7 +315,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table.tobytes())
 
     def make():
-        own, bits = shingles(words), np.frombuffer(shared.value, np.uint32)
+        own, bits = tool(Shingles, words), np.frombuffer(shared.value, np.uint32)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             b = batch.column("b").to_numpy()
@@ -419,4 +412,5 @@ def _sets_of(docs: DataFrame, ids: DataFrame, reps: DataFrame, words: int) -> Da
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, that stand for their component. Rows with a null id stay."""
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.struct("*").alias("row"))  # no column's name can clash
+    return rows.join(gone, F.col("_doc") == F.col("_gone"), "left_anti").select("row.*")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,6 +33,20 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+_tool: dict = {}
+
+
+def tool(make: Callable, *args):
+    """make(*args), kept in a Python worker for its later tasks. A worker holds one tool, the latest: what other operators have
+    remembered is let go, so that workers of long sessions stay small."""
+    key = (make, args)
+    if key not in _tool:
+        _tool.clear()
+        gc.collect()
+        _tool[key] = make(*args)
+    return _tool[key]
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | T.StructType) -> DataFrame:
     """map_arrow with state that is set up once per task: make() returns the function for one record batch."""
 

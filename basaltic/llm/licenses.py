@@ -10,7 +10,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basaltic.llm.common import map_batches, texts_of
+from basaltic.llm.common import map_batches, texts_of, tool
 
 # The base phrases and their labels.
 BASE_PHRASES = [
@@ -114,7 +114,7 @@ def license_scan(docs: DataFrame, phrases=BASE_PHRASES, notices=NOTICES, per_err
     """
 
     def make():
-        finder = NoticeFinder(phrases, notices, per_error)
+        finder = tool(NoticeFinder, tuple(phrases), tuple(notices), per_error)
 
         def row(text: str) -> tuple:
             n, places, finds = finder.find(text)

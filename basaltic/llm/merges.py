@@ -39,7 +39,7 @@ class Merges:
         key = a << 32 | b
         fit = self.known.get(key)
         if fit is None:
-            if len(self.known) > 2_000_000:
+            if len(self.known) > 400_000:
                 self.known.clear()
             fit = self.known[key] = self._apart(a, b)
         return fit

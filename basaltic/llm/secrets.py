@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basaltic.llm.common import SLICE_CHARS, map_batches, texts_of
+from basaltic.llm.common import SLICE_CHARS, map_batches, texts_of, tool
 
 # The base rules, in the order in which kinds are listed: kind, pattern, the group and the least characters of it.
 BASE_RULES = [
@@ -146,8 +146,8 @@ class Scanner:
         ends = np.cumsum([len(t) + 2 for t in texts])  # two zero bytes keep trigrams from spanning texts
         codes = np.frombuffer(b"\0\0".join(texts).translate(self.low) + b"\0\0", np.uint8)
         hits: list[np.ndarray] = []
-        for at in range(0, len(codes) - 2, 1 << 22):
-            part = codes[at : at + (1 << 22) + 2].astype(np.uint32)
+        for at in range(0, len(codes) - 2, 1 << 20):
+            part = codes[at : at + (1 << 20) + 2].astype(np.uint32)
             found = self.table[part[:-2] << 16 | part[1:-1] << 8 | part[2:]]
             where = np.flatnonzero(found)
             doc = np.searchsorted(ends, where + at, side="right")
@@ -205,7 +205,7 @@ def secret_spans(docs: DataFrame, base: list[tuple] = BASE_RULES, added: list[tu
     kinds = [k for k, *_ in base]
 
     def make():
-        scanner = Scanner(base, added)
+        scanner = tool(Scanner, tuple(base), tuple(added))
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)
@@ -226,7 +226,7 @@ def redacted(docs: DataFrame, base: list[tuple] = BASE_RULES, added: list[tuple]
     A null text stays null, a text without secrets as it is."""
 
     def make():
-        scanner = Scanner(base, added)
+        scanner = tool(Scanner, tuple(base), tuple(added))
 
         def clean(text: str, found: list[tuple[int, int, int]]) -> str:
             out, at = [], 0

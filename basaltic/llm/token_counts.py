@@ -13,13 +13,12 @@ the total whatever the grouping.
 
 from __future__ import annotations
 
-import functools
 import json
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import map_batches, texts_of
+from basaltic.llm.common import map_batches, texts_of, tool
 from basaltic.llm.merges import Merges, byte_letters
 from basaltic.llm.splitting import ODD, splitter
 
@@ -205,12 +204,6 @@ class Counter:
         return sum(map(self._plain, self.special_re.split(text))) + sum(1 for _ in self.special_re.finditer(text))
 
 
-@functools.cache
-def counter(path: str) -> Counter:
-    """One counter for each Python worker, so that later tasks find its states and words."""
-    return Counter(path)
-
-
 def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens and over_limit (more tokens than the limit) of every whole text.
 
@@ -219,7 +212,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     """
 
     def make():
-        own = counter(path)
+        own = tool(Counter, path)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = texts_of(batch)
