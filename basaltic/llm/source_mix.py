@@ -120,5 +120,5 @@ def mixed(docs: DataFrame, most_times: int = 3, seed: str = "mix") -> DataFrame:
     Rows of one id count together and are taken equally often; empty documents give nothing."""
     times = mix(docs, most_times, seed).groupBy("doc_id").agg(F.sum("taken").alias("_t"), F.sum("size").alias("_s"))
     times = times.where("_s > 0").select(F.col("doc_id").alias("_id"), F.floor(F.col("_t") / F.col("_s") + 0.5).cast("int").alias("_times")).where("_times > 0")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    return docs.join(times, docs["doc_id"].eqNullSafe(F.col("_id"))).select(*own, F.explode(F.array_repeat(F.lit(0), F.col("_times"))).alias("_copy")).select(*own)
+    rows = docs.select(F.col("doc_id").alias("_doc"), F.struct("*").alias("row"))  # no column's name can clash
+    return rows.join(times, F.col("_doc").eqNullSafe(F.col("_id"))).select("row", F.explode(F.array_repeat(F.lit(0), F.col("_times")))).select("row.*")
