@@ -163,3 +163,16 @@ def test_pipeline(spark):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, DATA).collect()) == wanted
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, DATA).columns == docs.columns
+
+
+def test_stages_on_odd_columns(spark):
+    """Columns with the names that operators use inside, nulls, and no rows at all."""
+    docs = table(spark, DATA, "documents").limit(30)
+    for c in ("_doc", "_gone", "_id", "_times", "row", "stats", "_words", "part", "taken", "size", "s", "component_id"):
+        docs = docs.selectExpr("*", f"'x' AS {c}")
+    docs = docs.unionByName(docs.limit(1).selectExpr(*(f"cast(null as {t}) AS {c}" for c, t in docs.dtypes)))
+    for name, stage in corpus_pipeline.STAGES:
+        for some in (docs, docs.limit(0)):
+            out = stage(spark, some, DATA)
+            assert name == "byte_bpe" or out.columns == docs.columns
+            assert out.count() >= 0
