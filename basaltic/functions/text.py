@@ -190,3 +190,20 @@ def asset_match(name: Column, glob: str) -> Column:
 
     parts = [p for p in glob.split("*") if p]
     return name.rlike(glob_pattern(glob)) | name.rlike("(?is)" + ".*".join(f"\\Q{p}\\E" for p in parts))
+
+
+def date_tag(c: Column) -> Column:
+    """An HTTP date as YYYY.MM.DD; null if it is none."""
+    day = F.regexp_extract(c, r"^\w{3}, (\d{2}) (\w{3}) (\d{4}) ", 1)
+    month = F.array_position(F.array(*map(F.lit, ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"))), F.regexp_extract(c, r"^\w{3}, \d{2} (\w{3}) \d{4} ", 1))
+    return F.when((day != "") & (month > 0), F.concat_ws(".", F.regexp_extract(c, r"^\w{3}, \d{2} \w{3} (\d{4}) ", 1), F.lpad(month.cast("string"), 2, "0"), day))
+
+
+def short_hash(c: Column, marker: str) -> Column:
+    """Seven characters after a marker; empty if it isn't there."""
+    return F.regexp_extract(c, f"\\Q{marker}\\E([0-9a-f]{{7}})", 1)
+
+
+def compression_name(c: Column) -> Column:
+    names = ("None", "Oodle", "Brotli", "ZStandard")
+    return F.when(c.between(0, 3), F.element_at(F.array(*map(F.lit, names)), (c + 1).cast("int"))).otherwise(F.concat(F.lit("Unknown("), c.cast("string"), F.lit(")")))

@@ -97,3 +97,36 @@ def agreement(rows: DataFrame, magic: str, text: str, size: int, floor: float =
     good, weight = is_meaningful(F.col(text)), F.greatest(F.lit(1), F.length(text))
     by = rows.groupBy(F.col(magic).bitwiseAND(size - 1).alias("_i")).agg(F.countDistinct(magic).alias("m"), F.avg(good.cast("double")).alias("g"), F.sum(weight).alias("w"), F.sum(F.when(good, weight).otherwise(0)).alias("gw"))
     return by.agg((F.sum("gw") / F.sum("w")).alias("confidence"), F.coalesce(F.bool_and((F.col("m") < 2) | (F.col("g") >= floor)), F.lit(True)).alias("agrees"))
+
+
+def most_called(edges: DataFrame, callee: str, candidates: DataFrame, name: str) -> DataFrame:
+    """One row: the candidate with the most call sites, the smallest name on ties, and the number; no row without any."""
+    known = candidates.select(F.col(name).alias("_c")).distinct()
+    counted = edges.join(known, F.col(callee) == F.col("_c"), "left_semi").groupBy(callee).agg(F.count("*").alias("sites"))
+    best = counted.agg(F.min(F.struct((-F.col("sites")).alias("s"), F.col(callee).alias("n"))).alias("_m")).where("_m is not null")
+    return best.select(F.col("_m.n").alias("name"), (-F.col("_m.s")).alias("sites"))
+
+
+def run_counters(rows: DataFrame, kind: Column, skipped: Column, size: Column, running_total: Column, group: Column) -> DataFrame:
+    """One row: all files, those not skipped with their bytes (at least the running total), decompiled ones (a kind other than Skipped
+    and Unknown), and distinct groups."""
+    known = ~F.coalesce(kind, F.lit("")).isin("", "Skipped", "Unknown")
+    return rows.agg(
+        F.count("*").alias("files"),
+        F.count_if(~skipped).alias("handled"),
+        F.count_if(skipped).alias("skipped"),
+        F.greatest(F.coalesce(F.sum(F.when(~skipped, size)), F.lit(0)), F.coalesce(F.max(running_total), F.lit(0))).alias("bytes"),
+        F.count_if(known & ~skipped).alias("decompiled"),
+        F.countDistinct(group).alias("groups"),
+    )
+
+
+def catalogue_counts(classes: DataFrame, enums: DataFrame) -> DataFrame:
+    """One row: classes, boilerplate classes, properties and enums. classes has properties and boilerplate."""
+    own = classes.agg(F.count("*").alias("classes"), F.count_if("boilerplate").alias("boilerplate"), F.coalesce(F.sum(F.size("properties")), F.lit(0)).alias("properties"))
+    return own.crossJoin(F.broadcast(enums.agg(F.count("*").alias("enums"))))
+
+
+def merged_order(first: Column, second: Column) -> Column:
+    """Distinct members of two arrays in the order in which they come."""
+    return F.array_union(first, second)

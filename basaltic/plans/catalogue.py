@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.plans import bodies, control, events, naming, routes, sources, strings
+from basaltic.plans import bodies, control, counts, events, naming, routes, sources, strings
 
-MODULES = (bodies, strings, naming, routes, events, sources, control)
+MODULES = (bodies, strings, naming, routes, events, sources, control, counts)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -15,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
     if not conf:
-        conf = f"file://{tempfile.gettempdir()}/basaltic-shared"
+        own = tempfile.mkdtemp(prefix="basaltic-shared-")  # one machine: the driver's own, gone when it ends
+        atexit.register(shutil.rmtree, own, True)
+        conf = f"file://{own}"
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
 

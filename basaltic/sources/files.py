@@ -112,3 +112,11 @@ def enum_headers(enums: DataFrame) -> DataFrame:
     ordered = F.array_sort(F.transform("values", lambda v: F.struct(v["value"].alias("value"), v["name"].alias("name"))))
     line = lambda v: F.concat(F.lit("    "), v["name"], F.lit(" = "), v["value"].cast("string"), F.lit(","))
     return enums.select("name", F.array_join(F.concat(F.array(F.concat(F.lit("enum class "), F.col("name"), F.lit(" {"))), F.transform(ordered, line), F.array(F.lit("};"))), "\n").alias("text"))
+
+
+def json_array(df: DataFrame, order: Column, most: int = 100_000) -> str:
+    """A bounded table as one JSON array, in order; a larger table is an error, and belongs in NDJSON."""
+    rows = df.select(order.alias("_o"), F.to_json(F.struct("*")).alias("_j")).orderBy("_o").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return "[" + ",\n".join(r["_j"] for r in rows) + "]"
