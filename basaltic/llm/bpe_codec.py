@@ -9,16 +9,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from basaltic.llm.common import map_batches, texts_of, tool
+from basaltic.llm.common import Memory, map_batches, texts_of, tool
 from basaltic.llm.merges import Merges
 from basaltic.llm.splitting import splitter
 
-#: Distinct pieces that a worker remembers; beyond it the memory starts anew.
-MEMO = 150_000
+#: Distinct pieces that a worker remembers.
+MEMO = 120_000
 
 
 class Codec:
-    """Encodes and decodes by a rank file. Bytes stand as Latin-1 characters, so the automaton matches bytes."""
+    """Encodes and decodes by a rank file. Bytes stand as Latin-1 characters, so the trie matches bytes."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import ahocorasick
@@ -28,11 +28,11 @@ class Codec:
         self.ranks = ranks
         self.merges = Merges({i for b, i in ranks.items() if len(b) == 1}, self._rules(ranks))
         self.machine = ahocorasick.Automaton()
-        for token, i in ranks.items():
-            if len(token) == 1 or i in self.merges.parts:  # a token that its own text does not give is never used
-                self.machine.add_word(token.decode("latin-1"), (len(token), i))
-        self.machine.make_automaton()
-        self.memo: dict[str, tuple[int, str, bytes]] = {}
+        # a token that its own text does not give is never used
+        self.usable = {t: i for t, i in ranks.items() if len(t) == 1 or i in self.merges.parts}
+        for token in self.usable:
+            self.machine.add_word(token.decode("latin-1"), len(token))
+        self.memory = Memory(MEMO)
 
     @staticmethod
     def _rules(ranks: dict[bytes, int]) -> dict[tuple[int, int], tuple[int, int]]:
@@ -57,40 +57,41 @@ class Codec:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        n = len(raw)
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
-        for end, match in self.machine.iter(raw.decode("latin-1")):
-            starts[end - match[0] + 1].append(match)  # ends rise, so lengths rise at each start
+        n, text, longest, usable = len(raw), raw.decode("latin-1"), self.machine.longest_prefix, self.usable.get
         known, fits = self.merges.known.get, self.merges.fits
         seen, tokens, places, at, last = bytearray(n + 1), [], [0], 0, -1
+        untried = [longest(text)]  # at each place of the path, the longest match that has not been tried there
         while at < n:
-            options = starts[at]
-            while options:
-                length, token = options.pop()
+            length = untried[-1]
+            while length:
+                token = usable(raw[at : at + length])
                 # a place that was reached once was reached by its only encoding; it need not be tried again
-                if not seen[at + length]:
+                if token is not None and not seen[at + length]:
                     fit = last < 0 or known(last << 32 | token)
                     if fit is None:
                         fit = fits(last, token)
                     if fit:
+                        untried[-1] = length - 1
                         at += length
                         seen[at] = 1
                         tokens.append(token)
                         places.append(at)
+                        untried.append(longest(text[at:]) if at < n else 0)
                         last = token
                         break
+                length -= 1
             else:
                 tokens.pop()
                 places.pop()
+                untried.pop()
                 at, last = places[-1], tokens[-1] if tokens else -1
         return tokens
 
     def piece(self, piece: str) -> tuple[int, str, bytes]:
         """Of one piece: number of ids, the ids as decimal text, and the bytes that the ids decode to."""
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
         ids = self.ids(piece)
-        got = self.memo[piece] = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        got = (len(ids), " ".join(map(str, ids)), self.decode(ids))
+        self.memory.offer(piece, got)
         return got
 
     def encode(self, text: str) -> list[int]:
@@ -101,7 +102,7 @@ class Codec:
 
     def digest(self, text: str) -> tuple[int, str, str]:
         """(number of ids, SHA-256 of the ids' decimals joined by a space, SHA-256 of the decoded bytes)."""
-        count, known, new = 0, self.memo.get, self.piece
+        count, known, new = 0, self.memory.kept.get, self.piece
         of_ids, of_bytes, first = hashlib.sha256(), hashlib.sha256(), True
         for pieces in self._some(text):
             got = [known(p) or new(p) for p in pieces]

@@ -33,6 +33,25 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+class Memory:
+    """A bounded memory of what words came to: a word is kept when it is seen for the second time, so that the many that never come
+    again take no room. When it is full, it starts anew."""
+
+    def __init__(self, most: int):
+        self.most, self.kept = most, {}
+        self.door = bytearray(1 << 22)  # a byte for each hash that has been seen
+
+    def offer(self, word, value) -> None:
+        at = hash(word) & 0x3FFFFF
+        if not self.door[at]:
+            self.door[at] = 1
+            return
+        if len(self.kept) >= self.most:
+            self.kept.clear()
+            self.door = bytearray(1 << 22)
+        self.kept[word] = value
+
+
 _tool: dict = {}
 
 
