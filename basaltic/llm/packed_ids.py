@@ -13,7 +13,6 @@ a // size to (b - 1) // size alone, and a block is unpacked by numpy in one go.
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import struct
@@ -26,12 +25,12 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-from basaltic.llm.common import map_arrow, partitions_of, shared_dir, texts_of
+from basaltic.llm.common import map_arrow, partitions_of, shared_dir, texts_of, tool
 from basaltic.llm.splitting import splitter
 
 MAGIC, VERSION, HEAD = b"BPKD", 1, struct.Struct("<4sBBHIQQ")
-#: Ids in a block (a multiple of 8, so blocks fill whole bytes), distinct pieces a worker remembers, ids read at once.
-BLOCK, MEMO, AT_ONCE = 4096, 300_000, 1 << 20
+#: Ids in a block (a multiple of 8, so blocks fill whole bytes), distinct pieces that a worker remembers, ids read at once.
+BLOCK, MEMO, AT_ONCE = 4096, 250_000, 1 << 20
 NULL_ID = -(1 << 63)
 
 
@@ -152,9 +151,10 @@ class Encoder:
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.bytes_in[i] = len(token)
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces. Those that are a space and letters go to the library in one string, which it cuts
+    def _ask(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of distinct pieces. Those that are a space and letters go to the library in one string, which it cuts
         before each space as it would apart; the byte lengths of the ids then say which belong to which piece."""
+        out: dict[str, bytes] = {}
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         if len(words) > 8:
             ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
@@ -164,37 +164,34 @@ class Encoder:
             if cuts[-1] < len(token_ends) and (token_ends[cuts] == ends).all():
                 raw, at = ids.tobytes(), 0
                 for p, cut in zip(words, (4 * cuts + 4).tolist()):
-                    self.memo[p] = raw[at:cut]
+                    out[p] = raw[at:cut]
                     at = cut
-                pieces = [p for p in pieces if p not in self.memo]
+                pieces = [p for p in pieces if p not in out]
         for p, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
-            self.memo[p] = np.array(e.ids, "<u4").tobytes()
+            out[p] = np.array(e.ids, "<u4").tobytes()
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        out, known = [], self.memo.get
+        out = []
         for text in texts:
             if any(s in text for s in self.special):
                 out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4"))
                 continue
             pieces = self.pattern.findall(text)
-            ids = list(map(known, pieces))
+            ids = list(map(self.memo.get, pieces))
             if None in ids:
+                holes = [k for k, i in enumerate(ids) if i is None]
+                new = self._ask(list({pieces[k] for k in holes}))
+                for k in holes:
+                    ids[k] = new[pieces[k]]
                 if len(self.memo) > MEMO:
                     self.memo.clear()
-                    ids = [None] * len(pieces)
-                self._learn(list({p for p, i in zip(pieces, ids) if i is None}))
-                ids = list(map(known, pieces))
+                self.memo.update(new)
             out.append(np.frombuffer(b"".join(ids), "<u4"))
         return out
 
 
-@functools.cache
-def encoder(path: str, pattern: str) -> Encoder:
-    """One encoder for each Python worker, so that later tasks find its memory filled."""
-    return Encoder(path, pattern)
-
-
 def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0) -> list[tuple[int, str, int, int, int]]:
     """Encodes every whole text, appends end_id, and writes a store to the folder, a URI that all executors reach.
 
@@ -208,7 +205,7 @@ def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
         from pyspark import TaskContext
 
         sink = name = writer = None
-        coder = encoder(path, pattern)
+        coder = tool(Encoder, path, pattern)
         store, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
             if writer is None and batch.num_rows:
