@@ -13,14 +13,14 @@ from basaltic.llm.common import Memory, map_batches, texts_of, tool
 from basaltic.llm.merges import Merges
 from basaltic.llm.splitting import splitter
 
-#: Distinct pieces that a worker remembers.
-MEMO = 120_000
+#: Distinct pieces that a worker remembers, about half a kilobyte each.
+MEMO = 300_000
 
 
 class Codec:
     """Encodes and decodes by a rank file. Bytes stand as Latin-1 characters, so the trie matches bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo: int = MEMO):
         import ahocorasick
 
         self.pattern = splitter(pattern)
@@ -32,7 +32,7 @@ class Codec:
         self.usable = {t: i for t, i in ranks.items() if len(t) == 1 or i in self.merges.parts}
         for token in self.usable:
             self.machine.add_word(token.decode("latin-1"), len(token))
-        self.memory = Memory(MEMO)
+        self.memory = Memory(memo)
 
     @staticmethod
     def _rules(ranks: dict[bytes, int]) -> dict[tuple[int, int], tuple[int, int]]:
@@ -46,10 +46,10 @@ class Codec:
         return rules
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> Codec:
+    def load(cls, path: str, pattern: str, memo: int = MEMO) -> Codec:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        return cls(ranks, pattern)
+        return cls(ranks, pattern, memo)
 
     def ids(self, piece: str) -> list[int]:
         """Token ids of one match of the pattern."""
@@ -129,7 +129,7 @@ class Codec:
             yield held
 
 
-def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def encode_digests(docs: DataFrame, path: str, pattern: str, memo: int = MEMO) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text.
 
     A null text counts as empty: no tokens, and digests of nothing. Repeated rows each get a row; a null doc_id stays
@@ -137,7 +137,7 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """
 
     def make():
-        own = tool(Codec.load, path, pattern)
+        own = tool(Codec.load, path, pattern, memo)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows = [own.digest(t) for t in texts_of(batch)]
