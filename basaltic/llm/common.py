@@ -74,6 +74,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
         for batch in batches:
             if batch.num_rows and (out := one(batch)) is not None:
                 yield out
+        pa.default_memory_pool().release_unused()  # an idle worker gives the batches' room back
 
     return map_arrow(df, run, schema)
 
