@@ -15,7 +15,6 @@ import functools
 import hashlib
 import math
 from collections.abc import Iterator
-from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -25,24 +24,66 @@ from pyspark.sql import types as T
 
 from basaltic.llm.common import connected, grouped, map_arrow, map_batches, stored
 
-#: Vectors of a label that a bucket should hold, rows of a tile, the chance to miss a pair at the threshold, and codes.
-BUCKET, TILE, MISS, CODES = 64, 512, 1e-8, 16
+#: Vectors whose comparison costs as much as a row of a bucket, rows of a tile, the chance to miss a pair at the threshold, codes.
+BUCKET, TILE, MISS, CODES = 512, 512, 1e-8, 16
+#: Pairs that a plan is measured on, and the most codewords in a half.
+SAMPLE, MOST_WORDS = 1600, 1024
+
+
+def half_codes(rng: np.random.Generator, dim: int, words: int) -> list[np.ndarray]:
+    """Random unit vectors of each half of the coordinates."""
+    half = max(1, dim // 2)
+    out = []
+    for width in (half, dim - half):
+        c = rng.normal(size=(words, width))
+        out.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300))
+    return out
+
+
+def pairs_at(rng: np.random.Generator, count: int, dim: int, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at the cosine; equal ones where a dimension has no room."""
+    x, z = rng.normal(size=(2, count, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if dim == 1:
+        return x, x
+    z -= (x * z).sum(axis=1, keepdims=True) * x
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * z / np.linalg.norm(z, axis=1, keepdims=True)
+
+
+def measured(dim: int, words: int, cosine: float, most: float) -> tuple[float, float]:
+    """(threshold, share of directions beyond it): the highest threshold at which a pair at the cosine shares no direction of
+    one code with a chance of `most` at the most, three standard errors allowed for."""
+    rng = np.random.default_rng((12, dim, words))
+    half, each = max(1, dim // 2), SAMPLE // CODES
+    shared, beyond = [], []
+    for _ in range(CODES):
+        one, two = half_codes(rng, dim, words)
+        x, y = pairs_at(rng, each, dim, cosine)
+        sides = [(v[:, :half] @ one.T, v[:, half:] @ two.T) for v in (x, y)]
+        for k in range(each):
+            first, second = (a[k][:, None] + b[k] for a, b in sides)
+            shared.append(np.minimum(first, second).max())
+            beyond.append(np.sort(rng.choice(first.ravel(), min(first.size, 4096), replace=True)))
+    allowed = most - 3 * math.sqrt(most * (1 - most) / len(shared))
+    need = np.sort(shared)[max(0, int(allowed * len(shared)))] - 1e-9
+    return need / math.sqrt(2), float(np.mean([(b >= need).mean() for b in beyond]))
 
 
+@functools.cache
 def plan(n: int, dim: int, cosine: float, miss: float = MISS) -> tuple[int, float]:
     """(codewords in a half, threshold on a unit direction's inner product) of each of CODES codes, for n vectors.
 
-    A pair at the cosine shares each of a vector's f directions with a chance of about p, as Gauss has it for inner
-    products; f is the least with f * p >= log(1 / miss). Several independent codes keep f near its mean for every vector."""
-    gauss, spread = NormalDist(), math.sqrt(1 - cosine * cosine)
-    for f in range(4, 2000):
-        words = max(4, math.ceil(math.sqrt(max(1, n) * f / (BUCKET * CODES))))
-        share = min(0.25, f / (CODES * words**2))
-        z = gauss.inv_cdf(1 - share)
-        mean = math.exp(-z * z / 2) / math.sqrt(2 * math.pi) / share  # of inner products beyond z
-        if f * gauss.cdf((cosine * mean - z) / spread) >= math.log(1 / miss) or share == 0.25:
+    The codes are turned independently, so a pair is missed by all of them with the CODES-th power of its chance to share no
+    direction of one, whatever the pair is; vectors without filters are part of that chance. It is measured in this dimension,
+    on a seeded sample of pairs at the cosine. The number of codewords is the one with the least work for a vector."""
+    best, worse = (math.inf, 0, 0.0), 0
+    for words in sorted({round(2 ** (k / 2)) for k in range(4, 2 * int(math.log2(MOST_WORDS)) + 1)}):
+        least, share = measured(dim, words, cosine, miss ** (1 / CODES))
+        work = CODES * words**2 * share * (BUCKET + n * share)
+        best, worse = ((work, words, least), 0) if work < best[0] else (best, worse + 1)
+        if worse == 2:
             break
-    return words, z / math.sqrt(dim)
+    return best[1:]
 
 
 class Code:
@@ -53,10 +94,7 @@ class Code:
         self.turn = np.linalg.qr(rng.normal(size=(dim, dim)))[0]
         self.half = max(1, dim // 2)
         self.words = words
-        self.codes = []
-        for width in (self.half, dim - self.half):
-            c = rng.normal(size=(words, width))
-            self.codes.append(c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300))
+        self.codes = half_codes(rng, dim, words)
 
     def decode(self, unit: np.ndarray, least: float) -> list[np.ndarray]:
         """Of each unit vector, the ascending numbers of all directions that exceed the threshold."""
@@ -183,7 +221,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, miss: float = MISS) -
     members = rows.where("v is not null").groupBy("label", "d", "vec_id").agg(F.first("v").alias("v"))
     classes = members.groupBy("label", "d").agg(F.min("vec_id").alias("id"), F.count("*").alias("many"), F.first("v").alias("v"))
     classes = stored(classes, "classes")
-    n = (classes.groupBy("label").agg(F.count("*").alias("c")).agg(F.max("c")).first() or [0])[0] or 0
+    width = np.dtype(kind).itemsize
+    largest = classes.groupBy("label", (F.octet_length("v") / width).cast("int").alias("dim")).agg(F.count("*").alias("c")).groupBy("dim").agg(F.max("c").alias("c")).collect()
+    plans = {r.dim: plan(r.c, r.dim, cosine, miss) for r in largest}
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -191,18 +231,17 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, miss: float = MISS) -
             lists: list = [None] * len(v)
             for size in {len(r) for r in v}:
                 at = [i for i, r in enumerate(v) if len(r) == size]
-                dim = size // np.dtype(kind).itemsize
-                words, least = plan(n, dim, cosine, miss)
+                words, least = plans[size // width]
                 for lo in range(0, len(at), 2000):
                     some = at[lo : lo + 2000]
                     for i, got in zip(some, decode(units([v[i] for i in some], kind), words, least)):
                         lists[i] = got
-            filters = pa.array([x.astype(np.int64) for x in lists], pa.list_(pa.int64()))
+            filters = pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))
             return pa.RecordBatch.from_arrays([*batch.select(["label", "id", "many", "v"]).columns, filters], ["label", "id", "many", "v", "filters"])
 
         return one
 
-    decoded = map_batches(classes.select("label", "id", "many", "v"), make, "label string, id long, many long, v binary, filters array<long>")
+    decoded = map_batches(classes.select("label", "id", "many", "v"), make, "label string, id long, many long, v binary, filters array<int>")
     decoded = stored(decoded, "decoded")
     # buckets and tiles are settled on narrow rows; vectors are joined on once, on their way to the tiles
     dealt = decoded.select("id", F.explode("filters").alias("f"), "label", F.octet_length("v").alias("size")).select("id", "f", F.xxhash64("label", "size", "f").alias("bucket"))

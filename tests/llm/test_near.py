@@ -136,6 +136,15 @@ def test_recall_on_the_given_vectors(spark):
     assert sum(r.n_links for r in got) >= 0.999 * hit.sum()
 
 
+@pytest.mark.parametrize(("dim", "n"), [(64, 100_000), (64, 3_000_000), (16, 300_000)])
+def test_recall_at_the_threshold_of_large_plans(dim, n):
+    """Fixed pairs at the cosine itself, decoded as in an input of n vectors of a label."""
+    x, y = cap_filters.pairs_at(np.random.default_rng(21), 2000, dim, 0.93)
+    plan = cap_filters.plan(n, dim, 0.93)
+    lists = [cap_filters.decode(v, *plan) for v in (x, y)]
+    assert all(len(np.intersect1d(a, b)) for a, b in zip(*lists)) and min(map(len, lists[0])) >= 16
+
+
 def test_pipeline(spark):
     """Against a plain version: the model's scores, brute-force groups, each text's secrets, the mix of what is left."""
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
