@@ -26,9 +26,21 @@ BASE_RULES = [
     ("hex", r"[0-9a-f]+", 0, 24),
 ]
 
+# A private key runs to the END line of its label. Where none comes before the next marker, it takes what is on the header's
+# line in the form of base64, the headers of an encrypted key, and the lines of base64. Line breaks may be escaped ones. No part
+# gives back what it took, and none looks beyond the next marker, so the search is linear.
+_BREAK, _LEAD = r"(?:\r?\n|\r|(?:\\r)?\\n)", r"[ \t>#*|\"']*+"
+_PRIVATE_KEY = (
+    r"-----BEGIN((?: [A-Z0-9]+)*) PRIVATE KEY-----"
+    r"(?:(?:[^-]|-(?!----(?:BEGIN|END)))*+-----END\1 PRIVATE KEY-----|"
+    r"(?:[ \t]*+(?:[A-Za-z0-9+/]{16,}+={0,2}|[A-Za-z0-9+/]++={1,2}))*+"
+    rf"(?:{_BREAK}{_LEAD}(?:Proc-Type|DEK-Info)\x20*+:[^\r\n\\]*+)*+(?:{_BREAK}{_LEAD}(?={_BREAK}))*+"
+    rf"(?:{_BREAK}{_LEAD}[A-Za-z0-9+/=]++[ \t\"',;]*+(?={_BREAK}|\Z))*+)"
+)
+
 #: Rules that the method adds: credentials whose issuers give them a form of their own.
 ADDED_RULES = [
-    ("private_key", r"-----BEGIN(?: [A-Z0-9]+)* PRIVATE KEY-----", 0, 0),
+    ("private_key", _PRIVATE_KEY, 0, 0),
     ("code_host", r"gh[opusr]_[A-Za-z0-9]+", 0, 40),
     ("chat_token", r"xox[abposr]-[A-Za-z0-9-]+", 0, 20),
     ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),

@@ -169,6 +169,37 @@ def test_secrets(spark):
     assert secrets.secret_spans(odd(spark, SECRETS).limit(0)).count() == 0
 
 
+BODY = [("MIIEow+/" * 8)[:n] for n in (64, 64, 21)]
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("a\n-----BEGIN RSA PRIVATE KEY-----\n{}\n-----END RSA PRIVATE KEY-----\nb", "a\n[private_key]\nb"),
+        ("-----BEGIN RSA PRIVATE KEY-----\r\nProc-Type: 4,ENCRYPTED\r\nDEK-Info: AES-128-CBC,00FF-1\r\n\r\n{}\r\n-----END RSA PRIVATE KEY-----", "[private_key]"),
+        ("-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{}\nthe end", "[private_key]\nthe end"),
+        ("k = '-----BEGIN PRIVATE KEY-----\\n{}\\n-----END PRIVATE KEY-----\\n'", "k = '[private_key]\\n'"),
+        ("-----BEGIN EC PRIVATE KEY-----\n{}", "[private_key]"),
+        ("-----BEGIN EC PRIVATE KEY----- {}== and so on", "[private_key] and so on"),
+        ("-----BEGIN EC PRIVATE KEY-----\n  {}\nno more here\n-----BEGIN PRIVATE KEY-----\n{}\n-----END PRIVATE KEY-----", "[private_key]\nno more here\n[private_key]"),
+        ("-----BEGIN EC PRIVATE KEY-----\n{}\n-----END DSA PRIVATE KEY-----", "[private_key]\n-----END DSA PRIVATE KEY-----"),
+        ("the line -----BEGIN PRIVATE KEY----- comes first", "the line [private_key] comes first"),
+    ],
+)
+def test_private_keys_go_with_their_bodies(spark, text, wanted):
+    between = "\\n" if "\\n" in text else "\r\n" if "\r" in text else " " if "----- {" in text else "\n  " if "\n  " in text else "\n"
+    whole = text.replace("{}", between.join(BODY))
+    assert secrets.redacted(odd(spark, [(1, whole, None)])).first().text == wanted
+
+
+def test_private_keys_are_searched_in_linear_time():
+    scanner, header = secrets.Scanner([], secrets.ADDED_RULES[:1]), "-----BEGIN PRIVATE KEY-----\n"
+    assert scanner.rules[0][4] is not True
+    assert len(scanner.spans([header * 20_000])[0]) == 20_000
+    assert scanner.spans([header + "A" * 3_000_000 + "\n-"])[0] == [(0, 0, len(header) + 3_000_000)]
+    assert scanner.spans([header + "A\n" * 1_000_000 + "-----END"])[0] == [(0, 0, len(header) + 1_999_999)]
+
+
 def test_trigram_queries():
     holds = lambda q, t: True if q is True else q in t if isinstance(q, str) else (all if q[0] == "and" else any)(holds(x, t) for x in q[1])
     for pattern, match in [("abc?def", "abdef"), ("(foo|barn)x+y", "barnxxy"), ("a[bc]d{2}e", "acdde"), ("x*abcd?", "abc"), ("(?i:SeCret)[0-9]+z", "sECRet1z"), ("a.c", "abc")]:
