@@ -123,20 +123,40 @@ def branch(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return member, _mix(nodes[member] ^ _mix(value + (place.astype(np.uint64) << np.uint64(33))))
 
 
-def survival(depth: int, similarity: float = 0.8) -> float:
-    """The chance that a pair shares a node on a level of one tree."""
-    q = 0.0
+def survival(depth: int, similarity: float = 0.8, below: float = 0.0) -> float:
+    """The chance that a pair shares a node on a level of one tree and is not lost below it."""
+    q = below
     for _ in range(depth):
         s = 1 - similarity + similarity * q
         q = (1 - 1 / _TWO) * s + s * s / _TWO
     return 1 - q
 
 
-def forest_size(n: int, similarity: float) -> tuple[int, int]:
-    """(trees, levels): so many levels that unlike sets, which share one value in twenty at the most, fill few nodes; so many
-    trees that a pair at the similarity is missed with a chance of MISS."""
+def missed(similarity: float, least: int, trees: int, levels: int, copies: int = 0) -> float:
+    """The chance that a pair is missed: by the sketch filter, or by all trees. All share the sketch's places, so trees are
+    independent only for a given number of equal ones. With copies, the pair's nodes all branch the further levels, too."""
+    out = 0.0
+    for equal in range(PLACES + 1):
+        share = equal / PLACES
+        below = (1 - survival(1, share, 1 - survival(MORE_LEVELS - 1, share))) ** copies if copies else 0.0
+        lost = (1 - survival(levels, share, below)) ** trees if equal >= least else 1.0
+        out += math.comb(PLACES, equal) * similarity**equal * (1 - similarity) ** (PLACES - equal) * lost
+    return out
+
+
+def forest_size(n: int, similarity: float) -> tuple[int, int, int, int]:
+    """(least, trees, levels, copies): so many equal places as a candidate needs; so many levels that unlike sets, which share
+    one value in twenty at the most, fill few nodes; so many trees, and fresh branchings of a node that goes deeper, that a pair
+    at the similarity is missed with a chance of MISS at the most, a quarter of it by the filter and half before going deeper."""
     levels = min(8, max(1, math.ceil(math.log(max(1, n) / 32) / math.log(20)))) if n > 32 else 1
-    return math.ceil(math.log(MISS) / math.log(1 - survival(levels, similarity))), levels
+    least = trees = copies = 1
+    while least < PLACES and sum(math.comb(PLACES, k) * similarity**k * (1 - similarity) ** (PLACES - k) for k in range(least + 1)) <= MISS / 4:
+        least += 1
+    while missed(similarity, least, trees, levels) > MISS / 2:
+        trees += 1
+    while missed(similarity, least, trees, levels, copies) > MISS:
+        copies += 1
+    return least, trees, levels, copies
 
 
 def first_nodes(reps: DataFrame, trees: int, levels: int) -> DataFrame:
@@ -162,13 +182,14 @@ def first_nodes(reps: DataFrame, trees: int, levels: int) -> DataFrame:
     return map_batches(reps.select("id", "sketch"), make, "p long, id long")
 
 
-def next_nodes(rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """p, id one level further down, from rows with p and id."""
+def next_nodes(rows: DataFrame, reps: DataFrame, copies: int) -> DataFrame:
+    """p, id one level further down, from rows with p and id, each node branched independently so many times."""
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, PLACES)
-            member, node = branch(batch.column("p").to_numpy().view(np.uint64), sketch)
+            nodes = batch.column("p").to_numpy().view(np.uint64)
+            member, node = (np.concatenate(c) for c in zip(*(branch(nodes ^ _mix(np.array([k], np.uint64)), sketch) for k in range(copies))))
             return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("id").take(pa.array(member))], ["p", "id"])
 
         return one
@@ -350,14 +371,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Words are runs of other characters than ASCII white space, A-Z lower-cased. A text of fewer words than a shingle is one
     shingle; without words (or null) it is empty and linked with nothing. Links are confirmed on the full sets of 64-bit shingle
-    hashes; a pair at the threshold is found with a chance of about 1 - MISS. component_id is the smallest id of the
+    hashes; a pair at the threshold is found with a chance of 1 - MISS at least, also in nodes that branch all further levels. component_id is the smallest id of the
     component; rows with a null id stay alone, and repeated ids belong to the components of all their rows.
     """
-    least = max(1, math.ceil(PLACES * (percent / 100 - 4 * math.sqrt(percent / 100 * (1 - percent / 100) / PLACES))))
     rows = stored(sketches(docs, words), "sketches")
     whole = rows.where("d is not null and doc_id is not null")
     reps = stored(whole.groupBy("d").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("s").alias("s")), "classes")
-    trees, levels = forest_size(reps.count(), percent / 100)
+    least, trees, levels, copies = forest_size(reps.count(), percent / 100)
     every = stored(first_nodes(reps, trees, levels), "nodes")
     sizes = every.groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
     nodes = stored(every.join(sizes, "p"), "shared")
@@ -396,7 +416,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         deeper = state.where("not go")
         if level == MORE_LEVELS or deeper.isEmpty():
             break
-        front = stored(next_nodes(deeper, reps), "front")
+        front = stored(next_nodes(deeper, reps, copies if level == 0 else 1), "front")
 
     part_of = reps.select("d", "id").join(parts, "id", "left").select(F.col("d").alias("_d"), F.coalesce("component", "id").alias("component"))
     part = F.coalesce("component", "doc_id")

@@ -76,6 +76,36 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got} == wanted
 
 
+def test_pairs_of_a_large_templated_group(spark, monkeypatch):
+    """Pairs just beyond the threshold among documents of a common template, so that nodes branch many further levels."""
+    monkeypatch.setattr(chosen_paths, "NODE", 16)
+    monkeypatch.setattr(chosen_paths, "ACROSS", 1)
+    rows = []
+    for i in range(300):
+        own = [f"t{k}" for k in range(75)] + [f"p{i // 2}x{k}" for k in range(14)] + [f"d{i}x{k}" for k in range(11)]  # 89 of 111 within a pair, 75 of 125 else
+        rows.append((i, " ".join(own)))
+    got = chosen_paths.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i // 2 * 2 for i in range(300)}
+
+
+def test_pairs_survive_all_further_levels():
+    """Sketches of pairs at the threshold: the filter and the trees, each node of which branches all further levels."""
+    rng, n = np.random.default_rng(31), 3000
+    a = rng.integers(0, 1 << 32, (n, chosen_paths.PLACES), dtype=np.uint32)
+    b = np.where(rng.random(a.shape) < 0.8, a, a ^ np.uint32(1))
+    least, trees, levels, copies = chosen_paths.forest_size(250_000, 0.8)
+    found = np.zeros(n, bool)
+    for tree in range(trees):
+        who, node = np.arange(n), np.full(n, chosen_paths._mix(np.array([tree + 1], np.uint64))[0])
+        for level in range(levels + chosen_paths.MORE_LEVELS):
+            salts = [chosen_paths._mix(np.array([k], np.uint64)) for k in range(copies if level == levels else 1)]
+            sides = [[chosen_paths.branch(node ^ salt, s[who]) for salt in salts] for s in (a, b)]
+            kept = [(who[m[x == y]], x[x == y]) for (m, x), (_, y) in zip(*sides)]
+            who, node = (np.concatenate(c) for c in zip(*kept))
+        found[who] = True
+    assert (found & ((a == b).sum(axis=1) >= least)).all()
+
+
 def test_near_texts_odd_rows(spark):
     rows = [(5, None, 1), (4, "", 2), (3, " \n", 3), (9, "one", 4), (8, "ONE", 5), (7, "one two", 6), (7, "one two", 6), (None, "one two", 7), (None, None, 8), (2, "é" * 50_000 + " b", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n int").selectExpr("*", "n AS d", "n AS id", "n AS component_id")
