@@ -32,6 +32,7 @@ class Codec:
         self.usable = {t: i for t, i in ranks.items() if len(t) == 1 or i in self.merges.parts}
         for token in self.usable:
             self.machine.add_word(token.decode("latin-1"), len(token))
+        self.longest = max(map(len, self.usable), default=0)
         self.memory = Memory(memo)
 
     @staticmethod
@@ -57,10 +58,10 @@ class Codec:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        n, text, longest, usable = len(raw), raw.decode("latin-1"), self.machine.longest_prefix, self.usable.get
+        n, text, longest, usable, most = len(raw), raw.decode("latin-1"), self.machine.longest_prefix, self.usable.get, self.longest
         known, fits = self.merges.known.get, self.merges.fits
         seen, tokens, places, at, last = bytearray(n + 1), [], [0], 0, -1
-        untried = [longest(text)]  # at each place of the path, the longest match that has not been tried there
+        untried = [longest(text[:most])]  # at each place of the path, the longest match that has not been tried there
         while at < n:
             length = untried[-1]
             while length:
@@ -76,7 +77,7 @@ class Codec:
                         seen[at] = 1
                         tokens.append(token)
                         places.append(at)
-                        untried.append(longest(text[at:]) if at < n else 0)
+                        untried.append(longest(text[at : at + most]) if at < n else 0)
                         last = token
                         break
                 length -= 1

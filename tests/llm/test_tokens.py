@@ -4,6 +4,7 @@ import base64
 import hashlib
 import io
 import random
+import time
 import zlib
 
 import numpy as np
@@ -126,3 +127,28 @@ def test_encoder_equals_the_library():
     own = packed_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     rows = texts(3000)
     assert [x.tolist() for x in own.encode(rows)] == [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+
+
+def seconds(run):
+    at = time.process_time()
+    run()
+    return time.process_time() - at
+
+
+@pytest.mark.parametrize("kind", ["letters", "unspaced"])
+def test_long_pieces_take_time_in_proportion(kind):
+    codec = bpe_codec.Codec.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghijklmnop") if kind == "letters" else chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(400_000))
+    codec.encode(text[:100_000])
+    assert seconds(lambda: codec.encode(text)) < 10 * seconds(lambda: codec.encode(text[-100_000:])) + 0.5
+    assert codec.decode(codec.encode(text)) == text.encode()
+
+
+def test_states_start_anew_within_a_word(counted, monkeypatch):
+    counter = token_counts.Counter(public_tokenizers.path("word_bpe_49k.json"))
+    monkeypatch.setattr(token_counts, "MOST_STATES", 50)
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(n)) for n in (0, 1, 60, 3000, 3000)]
+    assert [counter.count(w) for w in words] == [len(counted.encode(w, add_special_tokens=False).ids) for w in words]
+    assert len(counter.machine.states) <= 60
