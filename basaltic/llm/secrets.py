@@ -43,7 +43,8 @@ ADDED_RULES = [
     ("private_key", _PRIVATE_KEY, 0, 0),
     ("code_host", r"gh[opusr]_[A-Za-z0-9]+", 0, 40),
     ("chat_token", r"xox[abposr]-[A-Za-z0-9-]+", 0, 20),
-    ("web_token", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
+    # begins within the first 64 characters of its run, so that a run without an end is not tried from each of its places
+    ("web_token", r"(?<![A-Za-z0-9_-]{64})eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 40),
     ("cloud_key", r"AIza[A-Za-z0-9_-]+", 0, 39),
     ("payment_key", r"[sr]k_live_[A-Za-z0-9]+", 0, 24),
     ("url_login", r"(?<![a-z0-9+.-])[a-z][a-z0-9+.-]{0,30}://[^\s/:@]{1,100}:[^\s/:@]{1,200}@", 0, 0),
