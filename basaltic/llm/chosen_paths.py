@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import connected, map_arrow, map_batches, stored, texts_of, tool
+from basaltic.llm.common import KEPT_CHARS, connected, map_arrow, map_batches, stored, texts_of, tool
 
 #: Places of a sketch; members of a node that are compared at once; pairs across components for each member of a large node.
 PLACES, NODE, ACROSS = 128, 128, 256
@@ -57,9 +57,11 @@ class Shingles:
         self.plus = rng.integers(0, 1 << 63, PLACES, dtype=np.uint64)
 
     def _word(self, word: bytes) -> int:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        got = self.memo[word] = self.hash(word)
+        got = self.hash(word)
+        if len(word) <= KEPT_CHARS:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[word] = got
         return got
 
     def of(self, text: str) -> np.ndarray:

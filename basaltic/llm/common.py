@@ -17,6 +17,8 @@ from basaltic.session import shared_dir, ship
 SPACE = r"\x20\x09-\x0D"
 #: Characters of text handled at once in a Python worker.
 SLICE_CHARS = 8_000_000
+#: Longest word that a worker remembers, so that a memory of so many words is bounded in bytes, too.
+KEPT_CHARS = 64
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
@@ -35,13 +37,15 @@ def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 class Memory:
     """A bounded memory of what words came to: a word is kept when it is seen for the second time, so that the many that never come
-    again take no room. When it is full, it starts anew."""
+    again take no room, nor do those above KEPT_CHARS. When it is full, it starts anew."""
 
     def __init__(self, most: int):
         self.most, self.kept = most, {}
         self.door = bytearray(1 << 22)  # a byte for each hash that has been seen
 
     def offer(self, word, value) -> None:
+        if len(word) > KEPT_CHARS:
+            return
         at = hash(word) & 0x3FFFFF
         if not self.door[at]:
             self.door[at] = 1

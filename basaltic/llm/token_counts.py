@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import map_batches, texts_of, tool
+from basaltic.llm.common import KEPT_CHARS, map_batches, texts_of, tool
 from basaltic.llm.merges import Merges, byte_letters
 from basaltic.llm.splitting import ODD, splitter
 
@@ -60,12 +60,18 @@ class WordTransducer:
                 return 0
             node = self.fail[node]
 
-    def _reset(self) -> None:
+    def _reset(self, state: tuple | None = None) -> int:
+        """Forgets all states but the first and the given one, whose new number is returned."""
         # a state: node, then (last token, tokens fewer than now) of the beginnings that end within the node's depth
         start = (0, ((-1, 0),))
         self.states: list[tuple] = [start]
         self.known: dict[tuple, int] = {start: 0}
         self.arcs: dict[int, tuple[int, int]] = {}  # state << 9 | symbol -> (state, change in the number of tokens)
+        if state is None or state == start:
+            return 0
+        self.known[state] = 1
+        self.states.append(state)
+        return 1
 
     def _arc(self, state: int, symbol: int) -> tuple[int, int]:
         node, cuts = self.states[state]
@@ -92,8 +98,6 @@ class WordTransducer:
 
     def count(self, word: bytes) -> int:
         """Tokens of a whole word: the sum of its transitions' changes."""
-        if len(self.states) > MOST_STATES:
-            self._reset()
         state, total, arcs, last = 0, 0, self.arcs, len(word) - 1
         for i, s in enumerate(word):
             if i == last:
@@ -101,6 +105,9 @@ class WordTransducer:
             key = state << 9 | s
             arc = arcs.get(key)
             if arc is None:
+                if len(self.states) > MOST_STATES:  # starts anew from the state it is in
+                    key, arcs = self._reset(self.states[state]) << 9 | s, self.arcs
+                    state = key >> 9
                 arc = arcs[key] = self._arc(state, s)
             state, change = arc
             total += change
@@ -145,9 +152,11 @@ class Counter:
         self.memo: dict[str, int] = {}
 
     def _new(self, word: str) -> int:
-        if len(self.memo) >= MEMO:
-            self.memo.clear()
-        got = self.memo[word] = self.machine.count(word.encode("utf-8"))
+        got = self.machine.count(word.encode("utf-8"))
+        if len(word) <= KEPT_CHARS:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[word] = got
         return got
 
     def _run(self, piece: str) -> int:
