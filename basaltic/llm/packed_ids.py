@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basaltic.llm.common import map_arrow, partitions_of, shared_dir, texts_of, tool
+from basaltic.llm.common import KEPT_CHARS, map_arrow, partitions_of, shared_dir, texts_of, tool
 from basaltic.llm.splitting import splitter
 
 MAGIC, VERSION, HEAD = b"BPKD", 1, struct.Struct("<4sBBHIQQ")
@@ -157,9 +158,10 @@ class Encoder:
         out: dict[str, bytes] = {}
         words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
         if len(words) > 8:
-            ids = np.array(self.library.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, "<u4")
+            line = "".join(words)
+            ids = np.array(self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
             token_ends = np.cumsum(self.bytes_in[ids])
-            ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) for p in words])
+            ends = np.cumsum(np.fromiter(map(len, words if line.isascii() else [p.encode("utf-8", "surrogatepass") for p in words]), np.int64, len(words)))
             cuts = np.searchsorted(token_ends, ends)
             if cuts[-1] < len(token_ends) and (token_ends[cuts] == ends).all():
                 raw, at = ids.tobytes(), 0
@@ -172,30 +174,37 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out = []
-        for text in texts:
-            if any(s in text for s in self.special):
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4"))
-                continue
-            pieces = self.pattern.findall(text)
-            ids = list(map(self.memo.get, pieces))
-            if None in ids:
-                holes = [k for k, i in enumerate(ids) if i is None]
-                new = self._ask(list({pieces[k] for k in holes}))
-                for k in holes:
-                    ids[k] = new[pieces[k]]
-                if len(self.memo) > MEMO:
-                    self.memo.clear()
-                self.memo.update(new)
-            out.append(np.frombuffer(b"".join(ids), "<u4"))
+        """The ids of each text. Pieces that are new in any of the texts are learnt in one go."""
+        known = self.memo.get
+        cut = [None if any(s in text for s in self.special) else self.pattern.findall(text) for text in texts]
+        ids = [None if pieces is None else list(map(known, pieces)) for pieces in cut]
+        holes = [(pieces, found, places) for pieces, found in zip(cut, ids) if found is not None and (places := _nones(found))]
+        new = self._ask(list({pieces[k] for pieces, _, places in holes for k in places}))
+        for pieces, found, places in holes:
+            for k in places:
+                found[k] = new[pieces[k]]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+        self.memo.update(new if max(map(len, new), default=0) <= KEPT_CHARS else {p: i for p, i in new.items() if len(p) <= KEPT_CHARS})
+        whole = iter(self.library.encode_batch_fast([t for t, pieces in zip(texts, cut) if pieces is None], add_special_tokens=False))
+        return [np.array(next(whole).ids, "<u4") if found is None else np.frombuffer(b"".join(found), "<u4") for found in ids]
+
+
+def _nones(found: list) -> list[int]:
+    """The places of None in a list, most of which is not."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
         return out
 
 
 def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0) -> list[tuple[int, str, int, int, int]]:
     """Encodes every whole text, appends end_id, and writes a store to the folder, a URI that all executors reach.
 
-    Rows are dealt by ranges of doc_id and sorted, then encoded and written as they stream by. Each task attempt writes
+    Rows are dealt by ranges of doc_id and of the text's hash and sorted, then encoded and written as they stream by. Each task attempt writes
     files of its own name, and the manifest names those of the attempts that succeeded, so a lost executor leaves at most
     unused files. Returns the manifest's rows: (shard, file, first id's number in the store, ids, documents); it has one
     row for each shard.
@@ -223,8 +232,8 @@ def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
             sink.close()
             yield pa.RecordBatch.from_pylist([{"shard": part, "file": name, "ids": ids, "docs": count}], pa.schema([("shard", pa.int64()), ("file", pa.string()), ("ids", pa.int64()), ("docs", pa.int64())]))
 
-    rows = docs.select("doc_id", "text")
-    dealt = rows.repartitionByRange(partitions_of(rows), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select("doc_id", "text").withColumn("h", F.xxhash64("text"))  # by which rows of one id are dealt to several shards
+    dealt = rows.repartitionByRange(partitions_of(rows), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     made = sorted(map_arrow(dealt, write, "shard long, file string, ids long, docs long").collect())
     manifest, start = [], 0
     for shard, name, ids, count in made:
@@ -258,7 +267,7 @@ def packed(docs: DataFrame, path: str, pattern: str, end_id: int = 0, folder: st
     """Builds a store in the shared folder and returns what its files say of each document.
 
     A null text counts as empty and has the end id alone. A null doc_id stands before all others; repeated ids keep their
-    rows, by text. Other columns are left out. An empty table makes a store without shards and no rows.
+    rows, by the hash of their text. Other columns are left out. An empty table makes a store without shards and no rows.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/basaltic/packed-{uuid.uuid4().hex}"
