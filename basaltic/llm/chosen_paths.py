@@ -325,7 +325,7 @@ def joined_parts(rows: DataFrame, least: int, percent: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id and set, the full set of shingle hashes, of the representatives with the given id and class digest d.
+    """The rows of ids, which have an id and a class digest d of representatives, with set, the full set of shingle hashes.
 
     A bit map of FILTER_BITS hashed ids, a bounded size whatever the input, keeps most other texts from being handled and all texts
     from being shuffled; what passes it is joined to the ids. Of several rows with one id, those count whose set has the digest.
@@ -349,23 +349,38 @@ def full_sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         return one
 
     found = map_batches(docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text").withColumn("b", bit), make, "id long, d binary, set binary")
-    return found.join(ids.select("id", "d"), ["id", "d"]).select("id", "set")
+    return found.join(ids, ["id", "d"]).drop("d")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b whose sets meet in at least percent of their union."""
+def confirmed(docs: DataFrame, best: DataFrame, reps: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs a, b of best, which has one a for each b, whose full sets meet in at least percent of their union.
 
-    def make():
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            both = zip(batch.column("set_a"), batch.column("set_b"))
-            keep = [i for i, (x, y) in enumerate(both) if meet(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)]
-            return batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-        return one
-
-    with_a = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    with_b = with_a.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return map_batches(with_b, make, "a long, b long")
+    The b of one a are a star. A set goes once to the star of its a, and once to its own star if it is an a itself; no pair of
+    sets is ever shuffled, and a task holds the sets of one a. A member has one a in each of its nodes or chunks of at most
+    NODE members, so a star has at most NODE members for each node that its a is in.
+    """
+    heads = best.select(F.col("a").alias("id")).distinct().withColumn("head", F.lit(True))
+    asked = best.select(F.col("b").alias("id"), "a").join(heads, "id", "full_outer")
+    wanted = stored(reps.select("id", "d").join(asked, "id"), "wanted")
+    stars = F.array_compact(F.array(F.when(F.col("head"), F.col("id")), F.col("a")))
+    rows = full_sets(docs, wanted, words).withColumn("g", F.explode(stars)).select("g", "id", (F.col("id") != F.col("g")).alias("member"), "set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sets = None, []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for g, i, member, held in zip(*(batch.column(c).to_pylist() for c in ("g", "id", "member")), batch.column("set")):
+                if g != at:
+                    at, sets = g, []
+                one = np.frombuffer(held.as_buffer(), np.uint64)
+                if not member:
+                    sets.append(one.copy())  # rows with one id and other texts are several a
+                elif any(meet(x, one, percent) for x in sets):
+                    found.append((g, i))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], ["a", "b"])
+
+    return map_arrow(rows.repartition("g").sortWithinPartitions("g", "member"), run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -388,15 +403,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     chunk = F.pmod(F.xxhash64("id", "p"), F.ceil(F.col("c") / NODE))
     short = reps.select("id", "s")
     proposed = stored(forests(nodes.select(F.xxhash64("p", chunk).alias("g"), "p", "id").join(short, "id"), least), "proposed")
-    best = stored(proposed.where("b is not null").groupBy("b").agg(F.max_by("a", F.struct("e", "a")).alias("a")), "best")
-    sets = _sets_of(docs, best.select(F.col("a").alias("id")).union(best.select("b")), reps, words)
-    links = stored(confirmed(best, sets, percent), "links")
+    best = stored(proposed.where("b is not null").groupBy("b").agg(F.max_by("a", F.struct("e", "a")).alias("a")).where("a <> b"), "best")
+    links = stored(confirmed(docs, best, reps, words, percent), "links")
     parts = connected(links)
 
     # nodes whose candidates lie across components, and large nodes: what joins components there
     named = proposed.join(parts.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(parts.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
     apart = named.where(F.col("b").isNull() | (F.coalesce("ca", "a") != F.coalesce("cb", "b"))).select("p")
     front = nodes.where(F.col("c") > NODE).select("p", "id").union(nodes.where(F.col("c") <= NODE).select("p", "id").join(apart.distinct(), "p", "left_semi"))
+    sets = None
     for level in range(MORE_LEVELS + 1):
         parted = front.join(parts, "id", "left").select("p", "id", F.coalesce("component", "id").alias("part"))
         counts = parted.groupBy("p", "part").agg(F.count("*").alias("k"))
@@ -409,8 +424,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         spread = now.withColumn("chunk", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(mine))))
         met = stored(involved(spread.select(F.xxhash64("p", "chunk").alias("g"), "id", "part", "minor").join(short, "id"), least), "involved")
         if not met.isEmpty():
-            more = _sets_of(docs, met.select("id").join(sets.select("id"), "id", "left_anti"), reps, words)
-            sets = sets.unionByName(more)
+            more = met.select("id").distinct() if sets is None else met.select("id").distinct().join(sets.select("id"), "id", "left_anti")
+            new = stored(full_sets(docs, stored(reps.select("id", "d").join(more, "id"), "wanted"), words), "sets")
+            sets = new if sets is None else sets.unionByName(new)
             new = stored(joined_parts(met.join(sets, "id"), least, percent), "links")
             if not new.isEmpty():
                 links = links.unionByName(new)
@@ -426,11 +442,6 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.select("doc_id", F.col("n").alias("n_shingles"), part.alias("component_id"), F.coalesce(part == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def _sets_of(docs: DataFrame, ids: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """The stored full sets of representatives."""
-    return stored(full_sets(docs, stored(reps.select("id", "d").join(ids.distinct(), "id"), "wanted"), words), "sets")
-
-
 def deduplicated(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns, that stand for their component. Rows with a null id stay."""
     gone = near_duplicates(docs, words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
