@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from basaltic.llm.common import KEPT_CHARS, connected, map_arrow, map_batches, stored, texts_of, tool
 
 #: Places of a sketch; members of a node that are compared at once; pairs across components for each member of a large node.
-PLACES, NODE, ACROSS = 128, 128, 256
+PLACES, NODE, ACROSS = 128, 128, 1024
 #: The chance to miss a pair at the threshold, and levels that large nodes may branch beyond the first ones.
 MISS, MORE_LEVELS = 1e-5, 6
 #: Shares of nodes that pick one place and two: 1.25 children for each member on the average, for a similarity of 0.8.
@@ -419,7 +419,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         stats = stats.where("c * c > q").withColumn("go", ((F.col("c") * F.col("c") - F.col("q")) / 2 <= ACROSS * F.col("c")) | F.lit(level == MORE_LEVELS))
         state = stored(parted.join(stats, "p"), "across")
         # the minor members of a large node meet every chunk of it
-        now = state.where("go").withColumn("minor", F.col("part") != F.col("main")).withColumn("chunks", F.ceil(F.col("c") / (4 * NODE)))
+        now = state.where("go").withColumn("minor", F.col("part") != F.col("main")).withColumn("chunks", F.ceil(F.col("c") / (16 * NODE)))
         mine = F.pmod(F.xxhash64("id", "p"), F.col("chunks"))
         spread = now.withColumn("chunk", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array(mine))))
         met = stored(involved(spread.select(F.xxhash64("p", "chunk").alias("g"), "id", "part", "minor").join(short, "id"), least), "involved")
