@@ -30,7 +30,10 @@ OBFUSCATORS = (
 )
 
 # Markers of embedded assemblies, and of obfuscator features with their names.
-EMBEDDED_MARKERS = ("costura.", "Costura.AssemblyLoader", "AssemblyResolve", "ILMerge", "ILRepack")
+EMBEDDED_MARKERS = (
+    ("costura.", "Costura.Fody resources"), ("Costura.AssemblyLoader", "Costura.Fody loader"), ("AssemblyResolve", "AssemblyResolve hook"),
+    ("ILMerge", "ILMerge signature"), ("ILRepack", "ILRepack signature"),
+)
 FEATURE_MARKERS = (
     ("AntiTamper", "anti_tamper"), ("AntiDebug", "anti_debug"), ("Constants", "constants"),
     ("ControlFlow", "ctrl_flow"), ("ReferenceProxy", "ref_proxy"), ("Resources", "resources"),
@@ -118,8 +121,9 @@ def native_compiler(imports: Column, sections: Column) -> Column:
 
 
 def marks(text: Column, markers: tuple) -> Column:
-    """The markers that a text contains, in the markers' order."""
-    return F.array_compact(F.array(*(F.when(text.contains(m), F.lit(m)) for m in markers)))
+    """The signals of the markers that the head of a file contains, in the markers' order."""
+    head = F.when(F.octet_length(text) <= HEAD_BYTES, text).otherwise(F.substring(text.cast("binary"), 1, HEAD_BYTES).cast("string"))
+    return F.array_compact(F.array(*(F.when(head.contains(m), F.lit(signal)) for m, signal in markers)))
 
 
 def features(strings: Column) -> Column:

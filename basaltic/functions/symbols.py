@@ -43,18 +43,18 @@ def function_name(signature: Column) -> Column:
 
 
 def owner_class(name: Column) -> Column:
-    """What stands before the last :: outside template brackets; empty if there is none."""
-    depth = F.aggregate(
+    """What stands before the last :: outside template brackets, trimmed; empty if there is none. A > without its < counts for nothing."""
+    end = F.aggregate(
         F.split(name, ""),
-        F.struct(F.lit(0).alias("d"), F.lit(0).alias("n"), F.lit(-1).alias("cut"), F.lit("").alias("prev")),
+        F.struct(F.lit(0).alias("depth"), F.lit(0).alias("n"), F.lit(0).alias("cut"), F.lit("").alias("prev")),
         lambda s, c: F.struct(
-            (s["d"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0)).alias("d"),
+            F.greatest(s["depth"] + F.when(c == "<", 1).when(c == ">", -1).otherwise(0), F.lit(0)).alias("depth"),
             (s["n"] + 1).alias("n"),
-            F.when((s["d"] == 0) & (c == ":") & (s["prev"] == ":"), s["n"] - 1).otherwise(s["cut"]).alias("cut"),
-            F.when((s["prev"] == ":") & (c == ":"), F.lit("")).otherwise(c).alias("prev"),
+            F.when((s["depth"] == 0) & (c == ":") & (s["prev"] == ":"), s["n"] - 1).otherwise(s["cut"]).alias("cut"),
+            c.alias("prev"),
         ),
     )["cut"]
-    return F.when(depth > 0, F.substring(name, F.lit(1), depth)).otherwise("")
+    return F.regexp_replace(F.substring(name, F.lit(1), end), r"\A\s+|\s+\z", "")
 
 
 def is_boilerplate(name: Column) -> Column:

@@ -1,6 +1,6 @@
 """String predicates and extractions as column expressions. Lengths are in UTF-8 bytes where thresholds are."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 URL_TOKEN = "(?i)https?://[^\\s\"'<>)\\]}`]+"
@@ -131,11 +131,21 @@ def download_line(c: Column) -> Column:
     )
 
 
-def typed_setting(c: Column) -> Column:
-    """A setting's text as (kind, value): bool, int or string."""
-    low = F.lower(c)
-    kind = F.when(low.isin("true", "1", "yes", "false", "0", "no"), "bool").when(c.try_cast("long").isNotNull(), "int").otherwise("string")
-    return F.struct(kind.alias("kind"), F.when(kind == "bool", low.isin("true", "1", "yes").cast("string")).otherwise(c).alias("value"))
+# Settings that are not text.
+BOOL_SETTINGS = (
+    "SkipSystemLibs", "KeepIntermediates", "GenerateCallgraph", "GenerateDotFiles", "StopOnFirstError", "PreferSystemTools", "AutoUpdateCheck", "AutoUpdateTools",
+    "AutoUpdateApp", "GeneratePDB", "DecompileProjectMode", "LogToFile", "LogTimestamps", "AllowDynamicExecution", "SandboxWarning", "UE5ExtractPAK", "UE5SDKDump",
+    "UE5ExtractStrings", "UE5GhidraDecompile", "UE5NameResolution", "UE5BuildIndexes", "UE5ExportHookable",
+)
+INT_SETTINGS = ("StepTimeoutMinutes", "MaxFileSizeMB", "ConcurrentTargets", "DownloadRetries", "DownloadTimeoutMinutes")
+
+
+def typed_setting(key: Column, value: Column) -> Column:
+    """A setting's text as (kind, value), the kind by the key: bool, int or string. A value that is none of the kind is null."""
+    yes, no = value.isin("true", "1", "yes"), value.isin("false", "0", "no")
+    whole = F.when(value.rlike(r"\A[+-]?[0-9]+\z"), value.try_cast("long").cast("string"))
+    kind = F.when(key.isin(*BOOL_SETTINGS), "bool").when(key.isin(*INT_SETTINGS), "int").otherwise("string")
+    return F.struct(kind.alias("kind"), F.when(kind == "bool", F.when(yes, "true").when(no, "false")).when(kind == "int", whole).otherwise(value).alias("value"))
 
 
 def human_size(n: Column) -> Column:
@@ -151,10 +161,10 @@ def relative_time(seconds: Column) -> Column:
 
 
 def clean_tag(c: Column) -> Column:
-    """A release tag without its decoration; generic tags are empty."""
-    build = F.regexp_extract(c, r"^[A-Za-z]+_(.+)_build\z", 1)
+    """A release tag without v, V and the frame of one tool's tags; generic tags are empty."""
     bare = F.regexp_replace(F.regexp_replace(c, "^v", ""), "^V", "")
-    return F.when(bare.isin("latest", "releases", ""), "").when(build != "", build).otherwise(bare)
+    bare = F.when(bare.startswith("Ghidra_"), F.regexp_replace(F.substring(bare, 8, 1 << 30), r"_build\z", "")).otherwise(bare)
+    return F.when((F.lower(bare) == "latest") | bare.isin("releases", ""), "").otherwise(bare)
 
 
 def base_version(c: Column) -> Column:
@@ -179,17 +189,25 @@ def last_segment(url: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(url, r"/+\z", ""), "/"), -1)
 
 
+# What error texts of the time-out family hold, in any case.
+TRANSIENT = ("loadsystemroots", "0x80072ee2", "timeout", "timed out", "deadline exceeded")
+
+
 def is_transient(c: Column) -> Column:
     """Error texts of the time-out family."""
-    return c.rlike("(?i)timeout|timed out|deadline exceeded|connection reset|i/o timeout|temporary failure")
+    return F.lower(c).rlike("|".join(TRANSIENT))
 
 
-def asset_match(name: Column, glob: str) -> Column:
-    """Glob match, else the pattern's literal parts in order, whatever the case."""
+def matched_assets(assets: DataFrame, release: str, name: str, glob: str) -> DataFrame:
+    """The assets of each release that meet the glob; of a release without any, those that hold the glob's literal parts in order,
+    whatever the case."""
     from basaltic.functions.globs import glob_pattern
 
-    parts = [p for p in glob.split("*") if p]
-    return name.rlike(glob_pattern(glob)) | name.rlike("(?is)" + ".*".join(f"\\Q{p}\\E" for p in parts))
+    parts = [f"\\Q{p}\\E" for p in glob.lower().split("*") if p]
+    hit, loose = F.col(name).rlike(glob_pattern(glob)), F.lower(name).rlike("(?s)" + ".*?".join(parts))
+    exact = assets.where(hit).select(F.col(release).alias("_release")).distinct()
+    marked = assets.join(exact, F.col(release).eqNullSafe(F.col("_release")), "left")
+    return marked.where(hit | (F.col("_release").isNull() & loose)).drop("_release")
 
 
 def date_tag(c: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basaltic.operators.folds import folded
 from basaltic.operators.paths import ancestors, base_name, clean_path, components, extension, parent
 
 # Tools with category, way of installing, whether optional, and the runtime they need.
@@ -60,15 +61,17 @@ class Registry:
         own = routed.where(F.col("recipe") == name)
         return recipe.build(own) if stage in (None, "", *recipe.steps) else own
 
-    def requirements(self, spark: SparkSession) -> DataFrame:
-        """recipe, pos and tool of every recipe."""
-        return spark.createDataFrame([(r.name, i, t) for r in self.recipes for i, t in enumerate(r.tools)], "recipe string, pos int, tool string")
+    def requirements(self, spark: SparkSession, shown: bool = False) -> DataFrame:
+        """recipe, pos and tool of every recipe; for display those that it shows, if it has any."""
+        return spark.createDataFrame([(r.name, i, t) for r in self.recipes for i, t in enumerate(r.shown if shown and r.shown else r.tools)], "recipe string, pos int, tool string")
 
 
-def required(routed: DataFrame, needs: DataFrame, tools: DataFrame) -> DataFrame:
-    """Distinct tools of the recipes in use with their runtimes, in the order of first need."""
-    used = routed.select("recipe").distinct().join(needs, "recipe").join(tools.select(F.col("name").alias("tool"), "runtime", F.col("pos").alias("place")), "tool")
-    return used.groupBy("tool", "runtime").agg(F.min("place").alias("place")).orderBy("place")
+def required(routed: DataFrame, needs: DataFrame, tools: DataFrame, order: str) -> DataFrame:
+    """Distinct tools of the recipes in use with their runtimes and `place`, 1 for the tool that the files need first: by the first file
+    of a recipe, then by the tool's place in that recipe. Only one row of each recipe is looked at in the window."""
+    used = routed.where("recipe is not null").groupBy("recipe").agg(F.min(order).alias("_first")).join(needs, "recipe")
+    first = used.groupBy("tool").agg(F.min(F.struct("_first", "pos")).alias("_at")).join(tools.select(F.col("name").alias("tool"), "runtime"), "tool")
+    return first.select("tool", "runtime", F.row_number().over(W.orderBy("_at")).alias("place")).orderBy("place")
 
 
 def tool_status(tools: DataFrame, versions: DataFrame, running: DataFrame) -> DataFrame:
@@ -90,11 +93,15 @@ def redacted(value: Column) -> Column:
     return F.when(F.coalesce(value, F.lit("")) != "", "***").otherwise("")
 
 
+# How banner lines of a listing of types begin.
+BANNERS = ("ilspycmd", "ICSharpCode")
+
+
 def type_list(lines: DataFrame, line: str) -> DataFrame:
-    """Names in a listing of types: the last words of lines that are neither blank, banners nor generated names."""
-    kept = lines.where((F.trim(line) != "") & ~F.col(line).rlike("^(?:=|-|//|Types?:)"))
-    named = kept.select(F.trim(F.regexp_replace(F.trim(line), r"^\S+\s+", "")).alias("name"))
-    return named.where(~F.col("name").contains("<") & (F.col("name") != ""))
+    """Names in a listing of types, each line a kind, a space and a name; blank lines, banners and generated names are left out."""
+    bare = F.regexp_replace(line, r"\A\s+|\s+\z", "")
+    kept = lines.select(bare.alias("_line")).where((F.col("_line") != "") & ~F.col("_line").rlike("^(?:" + "|".join(BANNERS) + ")"))
+    return kept.select(F.regexp_replace("_line", r"\A[^ ]* ", "").alias("name")).where((F.col("name") != "") & ~F.col("name").contains("<"))
 
 
 def flat_groups(groups: DataFrame) -> DataFrame:
@@ -148,10 +155,17 @@ def log_tail(rows: DataFrame, key: str, order: list[Column], most: int = 20) ->
     return rows.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("_r") <= most).drop("_r")
 
 
-def rolled(rows: DataFrame, bucket: str, order: str, size: Column, most: int = 1_500_000) -> DataFrame:
-    """`file`, the number of the file in its bucket, a new one whenever the running size passes a multiple of the limit."""
-    run = W.partitionBy(bucket).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return rows.withColumn("file", F.floor(F.coalesce(F.sum(size).over(run), F.lit(0)) / most))
+def rolled(rows: DataFrame, bucket: str, order: str, size: str, most: int = 1_500_000) -> DataFrame:
+    """`file`, the number of the file in its bucket: a new one begins, and its size counts from nothing, once the one before holds the
+    limit or more."""
+
+    def step(state: tuple[int, int] | None, n: int | None) -> tuple[tuple[int, int], int]:
+        file, held = state or (0, 0)
+        if held >= most:
+            file, held = file + 1, 0
+        return (file, held + (n or 0)), file
+
+    return folded(rows, bucket, [order], [size], step, "file")
 
 
 def fresh_or_stale(cached: DataFrame, live: DataFrame, now: Column, hours: float = 1.0) -> DataFrame:

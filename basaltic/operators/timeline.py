@@ -4,6 +4,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from basaltic.operators.folds import folded
+
 # Pipeline phases by the stage that shows them; skip keeps the stage before.
 STAGE_OF_PHASE = {"scan": "analysis", "recon": "analysis", "match": "analysis", "tools": "tools", "install": "tools", "download": "tools", "extract": "tools", "execute": "execute", "log": "execute", "done": "done"}
 STAGE_ORDER = ("analysis", "tools", "execute", "done")
@@ -32,11 +34,14 @@ def final_status(rows: DataFrame, key: str, position: Column, phase: str, target
 
 
 def changes(rows: DataFrame, key: str, order: list[str], percent: Column, seconds: Column, gap: float = 1.0) -> DataFrame:
-    """Rows whose whole percent changes, that reach 100, or that come a gap or more after the row before."""
-    w = W.partitionBy(key).orderBy(*order)
-    marked = rows.withColumn("_p", F.floor(percent)).withColumn("_s", seconds)
-    marked = marked.withColumn("_pp", F.lag("_p").over(w)).withColumn("_ps", F.lag("_s").over(w))
-    return marked.where((F.col("_pp").isNull()) | (F.col("_p") != F.col("_pp")) | (F.col("_p") >= 100) | (F.col("_s") - F.col("_ps") >= gap)).drop("_p", "_s", "_pp", "_ps")
+    """Rows whose whole percent changes, that reach 100, or that come a gap or more after the last row that was let through."""
+
+    def step(state: tuple | None, p: int | None, s: float | None) -> tuple[tuple, int]:
+        out = state is None or p != state[0] or (p is not None and p >= 100) or (s is not None and state[1] is not None and s - state[1] >= gap)
+        return ((p, s), 1) if out else (state, 0)
+
+    marked = rows.withColumn("_p", F.floor(percent)).withColumn("_s", seconds.cast("double"))
+    return folded(marked, key, order, ["_p", "_s"], step, "_out").where("_out = 1").drop("_p", "_s", "_out")
 
 
 def transitions(rows: DataFrame, key: str, order: list[str], value: str, out: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from basaltic.functions import routing, text
 from basaltic.operators import control
 from basaltic.plans.events import _events
-from basaltic.plans.routes import _FILES, _names, _recon
+from basaltic.plans.routes import _FILES, _RECON, _names, _recon
 from basaltic.sources.tables import table
 
 
@@ -39,13 +39,13 @@ def main_executable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tools_needed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tools and runtimes that the routed files need."""
+    """Tools and runtimes that the routed files need, in the order in which these need them."""
     registry = control.Registry()
     registry.register(control.Recipe("managed", lambda: F.col("kind") == "Managed", lambda d: d, ("ilspycmd", "de4dot-cex")))
     registry.register(control.Recipe("native", lambda: F.col("kind").isin("Native", "UnrealEngine"), lambda d: d, ("ghidra", "strings", "ilspycmd")))
     registry.register(control.Recipe("never", lambda: F.lit(False), lambda d: d, ("retoc",)))
     routed = registry.route(_recon(spark, sf_dir))
-    return control.required(routed, registry.requirements(spark), control.tool_table(spark))
+    return control.required(routed, registry.requirements(spark), control.tool_table(spark), "c_custkey")
 
 
 def tool_board(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,12 +75,12 @@ def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and bytes of each file that events roll into by type."""
     e = _events(spark, sf_dir).select("event_type", "event_id", F.floor("value").cast("long").alias("size"))
-    return control.rolled(e, "event_type", "event_id", F.col("size"), 1000).groupBy("event_type", "file").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    return control.rolled(e, "event_type", "event_id", "size", 1000).groupBy("event_type", "file").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
 def release_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned tags: cached while fresh, else live, else stale."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 3000")
+    o = table(spark, sf_dir, "orders")
     cached = o.where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("v"), F.col("o_orderkey")).alias("tag"), (F.col("o_orderkey") * 10).alias("cached_at"))
     live = o.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("key"), F.concat(F.lit("Tool_"), F.col("o_orderkey"), F.lit("_build")).alias("tag"))
     return control.fresh_or_stale(cached, live, F.lit(20000)).select("key", text.clean_tag(F.col("tag")).alias("tag"))
@@ -106,7 +106,8 @@ QUERIES = {
         """SELECT o_custkey, arg_min(path, (o, CASE WHEN o = 0 THEN 0 ELSE -size END, path)) AS executable FROM (SELECT o_custkey, (CASE WHEN k % 3 = 0 THEN 'x/Binaries/Win64/' ELSE 'y/' END) || 'o' || k || CASE WHEN k % 7 = 0 THEN '-Shipping.exe' ELSE '.exe' END AS path,
         CASE WHEN k % 3 = 0 AND k % 7 = 0 THEN 0 WHEN k % 3 = 0 THEN 1 ELSE 2 END AS o, CAST(floor(o_totalprice) AS BIGINT) AS size FROM (SELECT *, o_orderkey AS k FROM orders) WHERE k % 7 <> 1) GROUP BY 1""",
     ),
-    "tools_needed": (tools_needed, "SELECT * FROM (VALUES ('ilspycmd', 'dotnet', 1), ('strings', '', 2), ('de4dot-cex', '', 3), ('ghidra', 'java', 4)) t(tool, runtime, place)"),
+    "tools_needed": (tools_needed, f"""WITH need(recipe, pos, tool, runtime) AS (VALUES ('managed', 0, 'ilspycmd', 'dotnet'), ('managed', 1, 'de4dot-cex', ''), ('native', 0, 'ghidra', 'java'), ('native', 1, 'strings', ''), ('native', 2, 'ilspycmd', 'dotnet'))
+        SELECT tool, runtime, CAST(row_number() OVER (ORDER BY min(key * 10 + pos)) AS INTEGER) AS place FROM need JOIN (SELECT CASE WHEN kind = 'Managed' THEN 'managed' ELSE 'native' END AS recipe, min(c_custkey) AS key FROM {_RECON} WHERE kind IN ('Managed', 'Native', 'UnrealEngine') GROUP BY 1) USING (recipe) GROUP BY 1, 2"""),
     "tool_board": (
         tool_board,
         f"""SELECT name, (['detector', 'decompiler', 'analyzer', 'deobfuscator', 'decompiler', 'deobfuscator', 'unpacker', 'deobfuscator', 'decompiler', 'analyzer', 'extractor', 'extractor'])[i] AS category,
@@ -118,9 +119,13 @@ QUERIES = {
     "log_tail": (log_tail, "SELECT user_id, event_id, epoch_us(ts) AS us FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5"),
     "rolled_files": (
         rolled_files,
-        """SELECT event_type, CAST(file AS BIGINT) AS file, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM (SELECT event_type, size, floor(coalesce(sum(size) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000) AS file
-        FROM (SELECT event_type, event_id, CAST(floor(value) AS BIGINT) AS size FROM events)) GROUP BY 1, 2""",
+        """WITH RECURSIVE e AS (SELECT event_type, CAST(floor(value) AS BIGINT) AS size, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS r FROM events),
+        sums AS (SELECT *, sum(size) OVER (PARTITION BY event_type ORDER BY r) AS upto FROM e),
+        walk AS (SELECT event_type, CAST(0 AS BIGINT) AS file, CAST(1 AS BIGINT) AS a FROM e WHERE r = 1 UNION ALL
+        SELECT w.event_type, w.file + 1, (SELECT min(s.r) + 1 FROM sums s WHERE s.event_type = w.event_type AND s.r >= w.a AND s.upto - w.upto + w.size >= 1000) FROM (SELECT walk.*, s.upto, s.size FROM walk JOIN sums s ON s.event_type = walk.event_type AND s.r = walk.a) w),
+        spans AS (SELECT event_type, file, a, lead(a) OVER (PARTITION BY event_type ORDER BY file) AS b FROM walk)
+        SELECT event_type, file, count(*) AS n, CAST(sum(size) AS BIGINT) AS bytes FROM spans JOIN e USING (event_type) WHERE r >= a AND (b IS NULL OR r < b) GROUP BY 1, 2""",
     ),
-    "release_tags": (release_tags, "SELECT o_orderkey AS key, CAST(o_orderkey AS VARCHAR) AS tag FROM orders WHERE o_orderkey < 3000 AND (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0)"),
+    "release_tags": (release_tags, "SELECT o_orderkey AS key, CASE WHEN o_orderkey % 3 = 0 AND (o_orderkey % 2 = 1 OR o_orderkey < 1640) THEN 'Tool_' || o_orderkey || '_build' ELSE CAST(o_orderkey AS VARCHAR) END AS tag FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0"),
     "content_hashes": (content_hashes, "SELECT page_id, sha256(html) AS sha256, strlen(html) AS size FROM pages"),
 }

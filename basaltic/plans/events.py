@@ -69,7 +69,7 @@ def tool_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events whose whole value changes, that reach 100, or that come a day after the one before."""
+    """Events whose whole value changes, that reach 100, or that come a day after the last one let through."""
     return timeline.changes(_events(spark, sf_dir), "user_id", ["us", "event_id"], F.col("value") / 10, F.col("us") / 1000000, 86400.0).select("user_id", "event_id")
 
 
@@ -144,7 +144,11 @@ QUERIES = {
     ),
     "throttle": (
         throttle,
-        f"""SELECT user_id, event_id FROM (SELECT user_id, event_id, floor(value / 10) AS p, us / 1000000 AS s, lag(floor(value / 10)) OVER {_W} AS pp, lag(us / 1000000) OVER {_W} AS ps FROM {_E}) WHERE pp IS NULL OR p <> pp OR p >= 100 OR s - ps >= 86400""",
+        f"""WITH RECURSIVE e AS (SELECT user_id, event_id, floor(value / 10) AS p, us / 1000000 AS s, row_number() OVER {_W} AS r FROM {_E}),
+        walk AS (SELECT user_id, event_id, r, p AS last_p, s AS last_s, true AS shown FROM e WHERE r = 1 UNION ALL
+        SELECT e.user_id, e.event_id, e.r, CASE WHEN go THEN e.p ELSE last_p END, CASE WHEN go THEN e.s ELSE last_s END, go
+        FROM (SELECT e.*, last_p, last_s, e.p <> last_p OR e.p >= 100 OR e.s - last_s >= 86400 AS go FROM walk JOIN e ON e.user_id = walk.user_id AND e.r = walk.r + 1) e)
+        SELECT user_id, event_id FROM walk WHERE shown""",
     ),
     "transitions": (transitions, f'SELECT user_id, event_id, event_type, before FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER {_W} AS "before" FROM {_E}) WHERE before IS NOT NULL AND before <> event_type'),
     "stage_states": (

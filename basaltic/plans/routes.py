@@ -76,7 +76,7 @@ def obf_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedded_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markers in texts, in the markers' order."""
+    """Signals of embedded payloads in texts, in the markers' order."""
     text = F.concat(F.when(F.col("doc_id") % 3 == 0, "ILMerge ").otherwise(""), F.col("text"), F.when(F.col("doc_id") % 2 == 0, " costura.dll").otherwise(""))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(routing.marks(text, routing.EMBEDDED_MARKERS), ",").alias("signals"))
 
@@ -184,7 +184,7 @@ QUERIES = {
     ),
     "embedded_markers": (
         embedded_markers,
-        "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 2 = 0 OR contains(text, 'costura.') THEN 'costura.' END, CASE WHEN contains(text, 'AssemblyResolve') THEN 'AssemblyResolve' END, CASE WHEN doc_id % 3 = 0 OR contains(text, 'ILMerge') THEN 'ILMerge' END) AS signals FROM documents",
+        "SELECT doc_id, concat_ws(',', CASE WHEN doc_id % 2 = 0 OR contains(text, 'costura.') THEN 'Costura.Fody resources' END, CASE WHEN contains(text, 'Costura.AssemblyLoader') THEN 'Costura.Fody loader' END, CASE WHEN contains(text, 'AssemblyResolve') THEN 'AssemblyResolve hook' END, CASE WHEN doc_id % 3 = 0 OR contains(text, 'ILMerge') THEN 'ILMerge signature' END, CASE WHEN contains(text, 'ILRepack') THEN 'ILRepack signature' END) AS signals FROM documents",
     ),
     "ancestor_dedupe": (
         ancestor_dedupe,

@@ -94,13 +94,16 @@ def scalar_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small text functions over event properties and URLs."""
     e = table(spark, sf_dir, "events")
     tag = text.log_tag(F.concat(F.lit("["), F.col("event_type"), F.lit("] value "), F.col("event_id").cast("string")), F.lit("none"))
+    key = F.when(F.col("event_id") % 3 == 0, "LogToFile").when(F.col("event_id") % 3 == 1, "MaxFileSizeMB").otherwise("OutputDir")
+    setting = text.typed_setting(key, F.when(F.col("event_id") % 6 == 3, "yes").when(F.col("event_id") % 7 == 1, "many").otherwise(F.col("event_id").cast("string")))
     return e.select(
         "event_id",
         tag["tool"].alias("tool"),
         tag["message"].alias("message"),
         text.human_size(F.col("event_id") * 1048).alias("size"),
         text.relative_time(F.col("event_id") * 37).alias("ago"),
-        text.typed_setting(F.col("event_id").cast("string"))["kind"].alias("kind"),
+        setting["kind"].alias("kind"),
+        setting["value"].alias("setting"),
         text.tab_escaped(F.concat_ws("\t", "event_type", F.lit("x"))).alias("escaped"),
     )
 
@@ -144,7 +147,8 @@ QUERIES = {
         r"""SELECT event_id, event_type AS tool, 'value ' || event_id AS message,
         CASE WHEN n <= 0 THEN '' WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f', floor(n / 1024.0 * 10 + 0.5) / 10) || ' KB' WHEN n < 1073741824 THEN printf('%.1f', floor(n / 1048576.0 * 10 + 0.5) / 10) || ' MB' ELSE printf('%.1f', floor(n / 1073741824.0 * 10 + 0.5) / 10) || ' GB' END AS size,
         CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS ago,
-        CASE WHEN event_id IN (0, 1) THEN 'bool' ELSE 'int' END AS kind, event_type || '\t' || 'x' AS escaped
+        CASE event_id % 3 WHEN 0 THEN 'bool' WHEN 1 THEN 'int' ELSE 'string' END AS kind,
+        CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 6 = 3 THEN 'true' WHEN event_id = 0 THEN 'false' END WHEN 1 THEN CASE WHEN event_id % 7 <> 1 THEN event_id::VARCHAR END ELSE CASE WHEN event_id % 7 = 1 THEN 'many' ELSE event_id::VARCHAR END END AS setting, event_type || '\t' || 'x' AS escaped
         FROM (SELECT event_id, event_type, event_id * 1048 AS n, event_id * 37 AS s FROM events)""",
     ),
     "private_use": (

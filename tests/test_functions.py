@@ -23,7 +23,7 @@ NAMES = {
     "undefined1 (*) [32]Foo::Bar(longlong p)": "Foo::Bar",
     "undefined1(longlong param_1)": "",
 }
-OWNERS = {"A::B::method": "A::B", "TArray<int>::Add": "TArray<int>", "plainfunc": "", "Foo::bar": "Foo", "NS::TMap<int,FString>::Find": "NS::TMap<int,FString>", "A<B<C::d>>::e": "A<B<C::d>>", "A<B<int>,C::d>": "", "": ""}
+OWNERS = {"A::operator->::b": "A::operator->", " A ::b": "A", "::b": "", "a>b::c": "a>b", "A::B::method": "A::B", "TArray<int>::Add": "TArray<int>", "plainfunc": "", "Foo::bar": "Foo", "NS::TMap<int,FString>::Find": "NS::TMap<int,FString>", "A<B<C::d>>::e": "A<B<C::d>>", "A<B<int>,C::d>": "", "": ""}
 URLS = {
     "https://example.com/api?k=1&v=2 trailingGarbageGluedHere moreStuff": ["https://example.com/api?k=1&v=2"],
     "prefix https://first.test/a https://second.test/b suffix": ["https://first.test/a", "https://second.test/b"],
@@ -48,10 +48,10 @@ NOISE = {"abc": True, "1.2,3": True, "<div>": True, "A" * 40: True, "A" * 39: Fa
         ({"x = FUN_00401000; DAT_1g": "x = <SYM>; <SYM>g", "aFUN_12": "aFUN_12", "FUN_zz": "FUN_zz"}, symbols.normal_body),
         ({"UFoo::Bar": True, "hello": False, "%d": False, "A::~B": True, "A::": False, "A::b\n": False}, symbols.is_qualified),
         ({"switchD_1::caseD_6": False, "FUN_1": True, "Other::Method": True, "memcpy": None, "caseD_6": False}, symbols.real_callee_rule),
-        ({"v1.2": "1.2", "Tool_11.2_build": "11.2", "latest": "", "V3": "3"}, text.clean_tag),
+        ({"v1.2": "1.2", "Ghidra_12.1_build": "12.1", "Ghidra_12.1": "12.1", "Tool_11.2_build": "Tool_11.2_build", "latest": "", "Latest": "", "releases": "", "V3": "3", "vV3": "3"}, text.clean_tag),
         ({'java "21.0.1" x\n"9"': "21.0.1", "none": ""}, text.banner_version),
         ({"a\tb\r\n": "a\\tb\\r\\n"}, text.tab_escaped),
-        ({"Reading stopped: i/o timeout": True, "not found": False}, text.is_transient),
+        ({"Reading stopped: i/o timeout": True, "not found": False, "failed to loadSystemRoots: exit status 0x80072EE2": True, "Timed Out": True, "context deadline exceeded": True, "connection reset by peer": False, "temporary failure": False}, text.is_transient),
         ({"password": True, "": True, "a\ue001b": False, "a\x01": False}, text.is_meaningful),
     ],
 )

@@ -5,8 +5,8 @@ import struct
 
 from pyspark.sql import functions as F
 
-from basaltic.functions import routing
-from basaltic.operators import dedupe, names, paths, records, summary, timeline
+from basaltic.functions import routing, text
+from basaltic.operators import control, dedupe, names, paths, records, summary, timeline
 from basaltic.sources import binary, files
 from basaltic.streaming import status
 
@@ -207,3 +207,42 @@ def test_stream_in_batches(spark, tmp_path):
     query.awaitTermination()
     last = {r.run: tuple(r)[1:] for r in sorted(seen, key=lambda r: r.events)}
     assert last == {1: ("done", "a", 5, "done", 3), 2: ("execute", "z", 0, "execute", 1)}
+
+
+def test_rolled_counts_anew_in_each_file(spark):
+    rows = spark.createDataFrame([("a", i, 1_000_000) for i in range(4)] + [("b", 0, 5_000_000), ("b", 1, None), (None, 0, 1)], "bucket string, pos int, size long")
+    got = {(r.bucket, r.pos): r.file for r in control.rolled(rows, "bucket", "pos", "size").collect()}
+    assert [got["a", i] for i in range(4)] == [0, 0, 1, 1] and (got["b", 0], got["b", 1], got[None, 0]) == (0, 1, 0)
+
+
+def test_changes_measure_from_the_last_row_shown(spark):
+    rows = spark.createDataFrame([("k", i, 7.2, 0.4 * i) for i in range(7)] + [("z", 0, 100.0, 0.0), ("z", 1, 100.0, 0.1)], "key string, pos int, percent double, at double")
+    got = timeline.changes(rows, "key", ["pos"], F.col("percent"), F.col("at")).collect()
+    assert sorted((r.key, r.pos) for r in got) == [("k", 0), ("k", 3), ("k", 6), ("z", 0), ("z", 1)]
+
+
+def test_type_list(spark):
+    listing = ["ilspycmd: 8.2.0", "ICSharpCode.Decompiler: 8.2", "", "  Class Foo.Bar  ", "Struct A.B C", "Class <Module>", "Class Foo/<>c", "Lone", "//x y"]
+    rows = spark.createDataFrame([(x,) for x in listing], "line string")
+    assert [r.name for r in control.type_list(rows, "line").collect()] == ["Foo.Bar", "A.B C", "Lone", "y"]
+
+
+def test_required_tools_by_first_need(spark):
+    registry = control.Registry()
+    registry.register(control.Recipe("one", lambda: F.col("kind") == 1, lambda d: d, ("ghidra", "diec")))
+    registry.register(control.Recipe("two", lambda: F.col("kind") == 2, lambda d: d, ("retoc",), shown=("strings", "retoc")))
+    routed = registry.route(spark.createDataFrame([(1, 2), (2, 1), (3, 3)], "pos int, kind int"))
+    tools = control.tool_table(spark)
+    assert [(r.tool, r.place) for r in control.required(routed, registry.requirements(spark), tools, "pos").collect()] == [("retoc", 1), ("ghidra", 2), ("diec", 3)]
+    assert [r.tool for r in control.required(routed, registry.requirements(spark, shown=True), tools, "pos").collect()] == ["strings", "retoc", "ghidra", "diec"]
+
+
+def test_matched_assets(spark):
+    rows = spark.createDataFrame([(1, "tool-x64.zip"), (1, "Tool-X64-debug.zip"), (2, "My-TOOL-big-X64.ZIP"), (2, "x64-tool"), (None, "tool-a-x64.zip")], "release int, name string")
+    assert sorted(r.name for r in text.matched_assets(rows, "release", "name", "tool-*x64.zip").collect()) == ["My-TOOL-big-X64.ZIP", "tool-a-x64.zip", "tool-x64.zip"]
+
+
+def test_settings_are_typed_by_key(spark):
+    rows = [("LogToFile", "yes", "true"), ("LogToFile", "YES", None), ("LogToFile", "0", "false"), ("DownloadRetries", "1", "1"), ("DownloadRetries", "1.5", None), ("OutputDir", "1", "1")]
+    df = spark.createDataFrame(rows, "key string, value string, wanted string")
+    assert all(r.got == r.wanted for r in df.select("wanted", text.typed_setting(F.col("key"), F.col("value"))["value"].alias("got")).collect())
