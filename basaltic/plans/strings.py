@@ -10,10 +10,10 @@ from basaltic.sources.tables import table
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trimmed non-empty lines of documents, the URLs of pages, and the literals of their source."""
-    docs = table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    each = lambda a: F.explode(F.transform(a, text.trimmed)).alias("line")  # noqa: E731 - trimmed once: no filter is pushed into an explode
+    docs = table(spark, sf_dir, "documents").select(each(F.split("text", "\n")))
     pages = table(spark, sf_dir, "pages")
-    lines = docs.union(pages.select("url")).union(pages.select(F.explode(symbols.string_literals(F.col("html")))))
-    return lines.select(text.trimmed(F.col("line")).alias("line")).where("line <> ''")
+    return docs.union(pages.select(each(F.array("url")))).union(pages.select(each(symbols.string_literals(F.col("html"))))).where("line <> ''")
 
 
 _BLANK = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -33,7 +33,7 @@ def string_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = _lines(spark, sf_dir).where(~text.is_noise(F.col("line"))).distinct()
+    kept = _lines(spark, sf_dir).where(~text.is_noise(F.col("line")))
     return kept.select(F.explode(text.categories(F.col("line"))).alias("c")).select("c.category", "c.value").distinct()
 
 

@@ -12,10 +12,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: the session's spark.checkpoint.dir, or one of our own where unset."""
+    """The folder all executors and the driver share: the session's spark.checkpoint.dir, or, on one machine alone, one of our own where unset."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
         conf = spark.sparkContext.getCheckpointDir()
+    if not conf and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not conf:
         own = tempfile.mkdtemp(prefix="basaltic-shared-")  # one machine: the driver's own, gone when it ends
         atexit.register(shutil.rmtree, own, True)
