@@ -225,8 +225,9 @@ def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
                 writer = ShardWriter(sink, coder.bits)
             for at in range(0, batch.num_rows, 64):
                 some = batch.slice(at, 64)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), coder.encode(texts_of(some))):
-                    writer.add(doc, np.append(ids, np.uint32(end_id)))
+                for doc, text in zip(some.column("doc_id").to_pylist(), texts_of(some)):
+                    # one text at a time: the pieces of many fall out of the processor's cache
+                    writer.add(doc, np.append(coder.encode([text])[0], np.uint32(end_id)))
         if writer is not None:
             ids, count = writer.close()
             sink.close()
