@@ -30,7 +30,7 @@ from basaltic.llm.common import KEPT_CHARS, map_arrow, partitions_of, shared_dir
 from basaltic.llm.splitting import splitter
 
 MAGIC, VERSION, HEAD = b"BPKD", 1, struct.Struct("<4sBBHIQQ")
-#: Ids in a block (a multiple of 8, so blocks fill whole bytes), distinct pieces that a worker remembers, ids read at once.
+#: Ids in a block (a multiple of 8, so blocks fill whole bytes), distinct pieces in each of a worker's two memories, ids read at once.
 BLOCK, MEMO, AT_ONCE = 4096, 250_000, 1 << 20
 NULL_ID = -(1 << 63)
 
@@ -147,7 +147,8 @@ class Encoder:
         self.pattern = splitter(pattern)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.bits = width(self.library.get_vocab_size(with_added_tokens=True))
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}  # pieces met lately; a full one becomes the elder, from which those met again come back
+        self.elder: dict[str, bytes] = {}
         self.bytes_in = np.zeros(1 << self.bits, np.int64)  # of each id; the vocabulary spells a byte with one letter
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.bytes_in[i] = len(token)
@@ -179,12 +180,14 @@ class Encoder:
         cut = [None if any(s in text for s in self.special) else self.pattern.findall(text) for text in texts]
         ids = [None if pieces is None else list(map(known, pieces)) for pieces in cut]
         holes = [(pieces, found, places) for pieces, found in zip(cut, ids) if found is not None and (places := _nones(found))]
-        new = self._ask(list({pieces[k] for pieces, _, places in holes for k in places}))
+        missing, elder = {pieces[k] for pieces, _, places in holes for k in places}, self.elder
+        new = {p: elder[p] for p in missing if p in elder}
+        new.update(self._ask([p for p in missing if p not in new]))
         for pieces, found, places in holes:
             for k in places:
                 found[k] = new[pieces[k]]
         if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
+            self.memo, self.elder = {}, self.memo
         self.memo.update(new if max(map(len, new), default=0) <= KEPT_CHARS else {p: i for p, i in new.items() if len(p) <= KEPT_CHARS})
         whole = iter(self.library.encode_batch_fast([t for t, pieces in zip(texts, cut) if pieces is None], add_special_tokens=False))
         return [np.array(next(whole).ids, "<u4") if found is None else np.frombuffer(b"".join(found), "<u4") for found in ids]
