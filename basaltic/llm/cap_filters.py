@@ -121,13 +121,17 @@ def decode(unit: np.ndarray, words: int, least: float) -> list[np.ndarray]:
 
 
 def _valid(embedding: list | None, kind: type) -> bytes | None:
-    """The components as bytes, or nothing if a vector can't be linked."""
+    """The components as bytes, or nothing if a vector can't be linked. One whose squares would not fit into a double is brought
+    near 1 by a power of two, which leaves its cosines as they are."""
     if not embedding or None in embedding:
         return None
     v = np.array(embedding, kind)
-    with np.errstate(over="ignore"):
-        norm = np.linalg.norm(v.astype(float))
-    return (v + 0).tobytes() if np.isfinite(norm) and norm > 0 else None
+    most = float(np.abs(v).max())
+    if not 0 < most < np.inf:  # NaN is not, either
+        return None
+    if not 1e-100 < most < 1e100:
+        v = np.ldexp(v, -math.frexp(most)[1])
+    return (v + 0).tobytes()
 
 
 def units(rows: list[bytes], kind: type) -> np.ndarray:

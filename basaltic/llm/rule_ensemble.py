@@ -184,12 +184,13 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     """Fits on at most `sample` labelled documents outside the held-out fold (id_check mod folds = 0).
 
     The sample is fixed by a hash of the id; its ids and labels alone are broadcast, a set bounded by `sample`. Null ids and
-    labels other than 0 and 1 are left out; of repeated labels the smallest counts.
+    labels other than 0 and 1 are left out; of repeated labels the smallest counts, of repeated documents the one whose
+    statistics come first, so that the fit does not depend on the order of tasks. Without labels, all documents score alike.
     """
     usable = labels.select("doc_id", F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & F.col("doc_id").isNotNull() & (id_check() % folds != 0))
     chosen = usable.groupBy("doc_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = statistics(found).select("_y", "stats").limit(2 * sample).collect()
+    rows = statistics(found).groupBy("doc_id").agg(F.first("_y").alias("_y"), F.min("stats").alias("stats")).collect()
     x = np.array([[r["stats"][s] for s in STATISTICS] for r in rows], float).reshape(-1, len(STATISTICS))
     order = np.lexsort((*x.T, [r["_y"] for r in rows])) if rows else []
     return fit(x[order] if rows else x, np.array([r["_y"] for r in rows], int)[order] if rows else np.zeros(0, int))

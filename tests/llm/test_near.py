@@ -155,6 +155,13 @@ def test_near_vectors_odd_rows(spark):
     assert cap_filters.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_of_extreme_lengths(spark):
+    """Squares that over- or underflow a double don't keep vectors from their links."""
+    rows = [(k, [x * 0.6, x * 0.8], 1) for k, x in enumerate((1.0, 1e200, 1e-200, 1e308, 1e-310, -1e200))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (4, 0), 5: (0, 5)}
+
+
 def test_recall_on_the_given_vectors(spark):
     rows = table(spark, "/root/testdata/sf0.1", "embeddings").limit(4000).collect()
     unit = np.array([r.embedding for r in rows], float)
