@@ -5,8 +5,10 @@ random code of unit vectors, and a direction is a pair of codewords. A vector is
 product with it exceeds a threshold, by halves, without touching the rest of the product. Vectors of one label that share a
 direction are compared in double precision.
 
-A pair is counted under the smallest direction that both share, so no pairs are written out: a task returns each vector's
-number of links found there, and links along a spanning forest. Large buckets are cut into tiles.
+A vector goes to a cell once, not once for each direction: a cell has the directions of one label and code, of some first
+codewords where a label is large. Cells of very many vectors are cut into tiles. A pair is counted under the smallest direction
+that both share, so no pairs are written out: a task returns each vector's number of links found there, and links along a
+spanning forest.
 """
 
 from __future__ import annotations
@@ -24,8 +26,11 @@ from pyspark.sql import types as T
 
 from basaltic.llm.common import connected, grouped, map_arrow, map_batches, stored
 
-#: Vectors whose comparison costs as much as a row of a bucket, rows of a tile, the chance to miss a pair at the threshold, codes.
-BUCKET, TILE, MISS, CODES = 512, 512, 1e-8, 16
+#: Vectors whose comparison costs as much as an entry of a direction, the chance to miss a pair at the threshold, codes.
+BUCKET, MISS, CODES = 512, 1e-8, 16
+#: Vectors of a cell or of a tile of one, members of a direction that are compared at once, pairs that are settled at once, vectors
+#: whose rows are made at once.
+CELL, TILE, PAIRS, SLICE = 1 << 17, 512, 1 << 16, 256
 #: Pairs that a plan is measured on, and the most codewords in a half.
 SAMPLE, MOST_WORDS = 1600, 1024
 
@@ -96,17 +101,26 @@ class Code:
         self.words = words
         self.codes = half_codes(rng, dim, words)
 
-    def decode(self, unit: np.ndarray, least: float) -> list[np.ndarray]:
-        """Of each unit vector, the ascending numbers of all directions that exceed the threshold."""
-        turned = unit @ self.turn
+    def decode(self, x: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The ascending numbers of all directions that exceed the threshold, vector after vector, and how many each vector has."""
+        turned = x @ self.turn
         one, two = turned[:, : self.half] @ self.codes[0].T, turned[:, self.half :] @ self.codes[1].T
-        tops = one.max(axis=1), two.max(axis=1)
-        need, out = least * math.sqrt(2), []
-        for a, b, top_a, top_b in zip(one, two, *tops):
-            i, j = np.flatnonzero(a >= need - top_b), np.flatnonzero(b >= need - top_a)
-            x, y = np.nonzero(a[i][:, None] + b[j] >= need)
-            out.append(i[x] * self.words + j[y])
-        return out
+        need, numbers, counts = least * math.sqrt(2), [], []
+        for lo in range(0, len(x), 256):
+            a, b = one[lo : lo + 256], two[lo : lo + 256]
+            (ra, i), (rb, j) = np.nonzero(a >= (need - b.max(axis=1))[:, None]), np.nonzero(b >= (need - a.max(axis=1))[:, None])
+            many = np.bincount(rb, minlength=len(a))
+            p = np.repeat(np.arange(len(ra)), many[ra])
+            q = ragged((np.cumsum(many) - many)[ra], many[ra])
+            hit = a[ra, i][p] + b[rb, j][q] >= need
+            numbers.append(i[p[hit]] * self.words + j[q[hit]])
+            counts.append(np.bincount(ra[p[hit]], minlength=len(a)))
+        return np.concatenate(numbers), np.concatenate(counts)
+
+
+def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, so many as its count, one run after the other."""
+    return np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
 
 
 @functools.cache
@@ -114,10 +128,11 @@ def codes(dim: int, words: int) -> list[Code]:
     return [Code(dim, words, k) for k in range(CODES)]
 
 
-def decode(unit: np.ndarray, words: int, least: float) -> list[np.ndarray]:
+def decode(x: np.ndarray, words: int, least: float) -> list[np.ndarray]:
     """Of each unit vector, the ascending numbers of the directions of all codes that exceed the threshold."""
-    each = [[x + k * words * words for x in c.decode(unit, least)] for k, c in enumerate(codes(unit.shape[1], words))]
-    return [np.concatenate(x) for x in zip(*each)]
+    each = [c.decode(x, least) for c in codes(x.shape[1], words)]
+    each = [np.split(got + k * words * words, np.cumsum(n)[:-1]) for k, (got, n) in enumerate(each)]
+    return [np.concatenate(y) for y in zip(*each)]
 
 
 def _valid(embedding: list | None, kind: type) -> bytes | None:
@@ -134,11 +149,15 @@ def _valid(embedding: list | None, kind: type) -> bytes | None:
     return (v + 0).tobytes()
 
 
-def units(rows: list[bytes], kind: type) -> np.ndarray:
-    v = np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1).astype(float)
+def unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(float)
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def units(rows: list[bytes], kind: type) -> np.ndarray:
+    return unit(np.frombuffer(b"".join(rows), kind).reshape(len(rows), -1))
+
+
 def usable(vectors: DataFrame, kind: type) -> DataFrame:
     """vec_id, label, v (components as bytes; null if it links with nothing) and d, their digest."""
 
@@ -153,60 +172,190 @@ def usable(vectors: DataFrame, kind: type) -> DataFrame:
     return map_batches(vectors.select("vec_id", F.col("label").cast("string").alias("label"), "embedding"), make, "vec_id long, label string, v binary, d binary")
 
 
-def links_in_buckets(rows: DataFrame, cosine: float, kind: type) -> DataFrame:
-    """From bucket rows (bucket, tile_a, tile_b, tile, f, id, many, v, filters), sorted runs of one bucket's tile pair: id,
-    n (members of the classes that it is linked with and that are counted here) and root, the smallest id that it hangs
-    together with here."""
+def packed(words: int) -> type:
+    """What a direction's number within a code, and how many there are, is kept as."""
+    return np.uint16 if words < 256 else np.uint32
 
-    def one(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-        ids, many = t.column("id").to_numpy(), t.column("many").to_numpy()
-        if len(ids) < 2:
-            return None
-        x = units(t.column("v").to_pylist(), kind)
-        tile, first, second = (t.column(c).to_numpy() for c in ("tile", "tile_a", "tile_b"))
-        f = t.column("f")[0].as_py()
-        if first[0] == second[0]:
-            a, b = np.nonzero(np.triu(x @ x.T >= cosine, 1))
-        else:
-            left, right = np.flatnonzero(tile == first[0]), np.flatnonzero(tile != first[0])
-            a, b = np.nonzero(x[left] @ x[right].T >= cosine)
-            a, b = left[a], right[b]
+
+def listed(x: np.ndarray, words: int, least: float) -> list[bytes]:
+    """Of each vector, how many directions it has of each code, and their numbers within the code, one code after the other."""
+    each = [c.decode(x, least) for c in codes(x.shape[1], words)]
+    counts = np.stack([n for _, n in each], axis=1)
+    parts = [np.split(got, np.cumsum(n)[:-1]) for got, n in each]
+    return [np.concatenate(y).astype(packed(words)).tobytes() for y in zip(counts, *parts)]
+
+
+def cells(decoded: DataFrame, plans: dict[int, tuple[int, float, int]], width: int, whole: bool) -> DataFrame:
+    """label, size, code, part of every cell that a vector is in; if whole, with id, many, v and the vector's lists up to that
+    code, else c, how many vectors of a batch there are."""
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows, at, code, part, lists = batch.column("lists").to_pylist(), [], [], [], []
+            sizes = batch.column("size").to_pylist()
+            for r, (row, size) in enumerate(zip(rows, sizes)):
+                words, _, parts = plans[size // width]
+                kind = packed(words)
+                step = np.dtype(kind).itemsize
+                flat = np.frombuffer(row, kind)
+                ends = np.cumsum(flat[:CODES], dtype=np.int64).tolist()
+                first = (flat[CODES:] // kind(words) % parts).tolist() if parts > 1 else None
+                lo = 0
+                for k, hi in enumerate(ends):
+                    if hi > lo:
+                        own = sorted(set(first[lo:hi])) if first else (0,)
+                        for x in own:
+                            at.append(r)
+                            code.append(k)
+                            part.append(x)
+                        if whole:
+                            lists += [row[: (k + 1) * step] + row[CODES * step : (CODES + hi) * step]] * len(own)
+                    lo = hi
+            if not at:
+                return None
+            out = pa.RecordBatch.from_arrays([*batch.select(["label", "size"]).take(pa.array(at)).columns, pa.array(code, pa.int32()), pa.array(part, pa.int32())], ["label", "size", "code", "part"])
+            if whole:
+                out = pa.RecordBatch.from_arrays([*out.columns, *batch.select(["id", "many", "v"]).take(pa.array(at)).columns, pa.array(lists, pa.binary())], [*out.schema.names, "id", "many", "v", "lists"])
+                return out
+            return pa.Table.from_batches([out]).group_by(out.schema.names).aggregate([([], "count_all")]).rename_columns([*out.schema.names, "c"]).combine_chunks().to_batches()[0]
+
+        return one
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one = make()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE if whole else batch.num_rows):  # a vector's rows are many
+                if (out := one(batch.slice(lo, SLICE if whole else batch.num_rows))) is not None:
+                    yield out
+
+    columns = ["label", "size", *(["id", "many", "v"] if whole else []), "lists"]
+    kept = "id long, many long, v binary, lists binary" if whole else "c long"
+    return map_arrow(decoded.select(columns), run, f"label string, size int, code int, part int, {kept}")
+
+
+def joined(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers in all binary values, one value after the other, and how many each has."""
+    held = column.combine_chunks()
+    ends = np.frombuffer(held.buffers()[1], np.int32)[held.offset : held.offset + len(held) + 1].astype(np.int64)
+    each = np.dtype(kind).itemsize
+    return np.frombuffer(held.buffers()[2], kind, (ends[-1] - ends[0]) // each, ends[0]), np.diff(ends) // each
+
+
+class Cell:
+    """The vectors of one cell, or of two of its tiles, and their links that are counted there."""
+
+    def __init__(self, t: pa.Table, cosine: float, kind: type, plans: dict[int, tuple[int, float, int]]):
+        self.cosine, self.raw = cosine, joined(t.column("v"), kind)[0].reshape(t.num_rows, -1)
+        dim = self.raw.shape[1]
+        self.short = np.empty(self.raw.shape, np.float32)
+        for lo in range(0, t.num_rows, 4096):
+            self.short[lo : lo + 4096] = unit(self.raw[lo : lo + 4096])
+        self.slack = 1e-6 + 2e-7 * dim  # single precision loses less
+        self.ids, self.many, self.tile = (t.column(c).to_numpy() for c in ("id", "many", "tile"))
+        self.tile_a, self.tile_b, self.code, part = (t.column(c)[0].as_py() for c in ("tile_a", "tile_b", "code", "part"))
+        self.words, _, parts = plans[dim]
+        self.flat, long = joined(t.column("lists"), packed(self.words))
+        begin = np.cumsum(long) - long
+        self.ends = np.cumsum(np.stack([self.flat[begin + k] for k in range(self.code + 1)], axis=1), axis=1, dtype=np.int64)
+        self.base = begin + self.code + 1
+        who, what = self.entries(np.arange(len(long)), self.code)
+        here = what // self.words % parts == part
+        who, what = who[here], what[here]
+        order = np.argsort(what, kind="stable")
+        self.who, self.what = who[order].astype(np.int32), what[order]
+
+    def entries(self, rows: np.ndarray, code: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place in rows, number) of the directions that rows have of a code."""
+        lo = self.ends[rows, code - 1] if code else np.zeros(len(rows), np.int64)
+        n = self.ends[rows, code] - lo
+        return np.repeat(np.arange(len(rows)), n), self.flat[ragged(self.base[rows] + lo, n)].astype(np.int64)
+
+    def meet(self, a: np.ndarray, b: np.ndarray, code: int, below: np.ndarray | None = None) -> np.ndarray:
+        """Whether each pair shares a direction of a code, one below a number of its own if given."""
+        keys = []
+        for side in (a, b):
+            at, number = self.entries(side, code)
+            if below is not None:
+                at, number = at[number < below[at]], number[number < below[at]]
+            keys.append(at * self.words**2 + number)
+        both = np.concatenate(keys)
+        both.sort()
+        out = np.zeros(len(a), bool)
+        out[both[1:][both[1:] == both[:-1]] // self.words**2] = True
+        return out
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """a, b and the direction of what looks alike, by ascending directions."""
+        cuts = np.concatenate([[0], np.flatnonzero(self.what[1:] != self.what[:-1]) + 1, [len(self.what)]])
+        crossing = self.tile_a != self.tile_b
+        least = np.float32(self.cosine - self.slack)
+        for lo, hi in zip(cuts[:-1][np.diff(cuts) > 1].tolist(), cuts[1:][np.diff(cuts) > 1].tolist()):
+            own = self.who[lo:hi]
+            left, right = (own[self.tile[own] == self.tile_a], own[self.tile[own] == self.tile_b]) if crossing else (own, own)
+            x, y = self.short[left], self.short[right] if crossing else None
+            for i in range(0, len(left), TILE):
+                for j in range(0 if crossing else i, len(right), TILE):
+                    like = x[i : i + TILE] @ (x if y is None else y)[j : j + TILE].T >= least
+                    a, b = np.divmod(np.flatnonzero(like), like.shape[1])
+                    if not crossing and i == j:
+                        a, b = a[a < b], b[a < b]
+                    if len(a):
+                        yield left[i + a].astype(np.int64), right[j + b].astype(np.int64), np.full(len(a), self.what[lo])
+
+    def settled(self, held: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """id, n and root of those in the links among held pairs that are counted here."""
+        a, b, f = (np.concatenate(c) for c in zip(*held))
+        first = np.unique(np.minimum(a, b) * len(self.ids) + np.maximum(a, b), return_index=True)[1]
+        a, b, f = a[first], b[first], f[first]
+        for lo in range(0, len(a), 1 << 16):  # in pieces, as the vectors of many pairs take room
+            at = slice(lo, lo + (1 << 16))
+            f[at][np.einsum("ij,ij->i", unit(self.raw[a[at]]), unit(self.raw[b[at]])) < self.cosine] = -1
+        a, b, f = a[f >= 0], b[f >= 0], f[f >= 0]
+        # pairs that share a smaller direction are counted there
+        for code in [*range(self.code), self.code]:
+            other = ~self.meet(a, b, code, f if code == self.code else None)
+            a, b, f = a[other], b[other], f[other]
         if not len(a):
             return None
-        # pairs that share a smaller direction are counted there
-        own = np.unique(np.concatenate([a, b]))
-        lists = t.column("filters").take(pa.array(own)).combine_chunks()
-        who, what = np.repeat(np.arange(len(own)), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()
-        names, at = np.unique(what[what < f], return_inverse=True)
-        has = np.zeros((len(own), max(1, len(names))), np.float32)
-        has[who[what < f], at] = 1
-        place = np.zeros(len(ids), np.int64)
-        place[own] = np.arange(len(own))
-        shared = has @ has.T  # at most two tiles' rows
-        here = shared[place[a], place[b]] == 0
-        n = np.zeros(len(ids), np.int64)
-        np.add.at(n, a[here], many[b[here]])
-        np.add.at(n, b[here], many[a[here]])
+        own, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        x, y = ends[: len(a)], ends[len(a) :]
+        n = np.zeros(len(own), np.int64)
+        np.add.at(n, x, self.many[b])
+        np.add.at(n, y, self.many[a])
+        ids = self.ids[own]
         root = ids.copy()
         while True:
             low = root.copy()
-            np.minimum.at(low, a, root[b])
-            np.minimum.at(low, b, root[a])
+            np.minimum.at(low, x, root[y])
+            np.minimum.at(low, y, root[x])
             if (low == root).all():
-                break
+                return ids, n, root
             root = low
-        return ids[own], n[own], root[own]
+
+    def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        held, count = [], 0
+        for got in self.pairs():
+            held.append(got)
+            count += len(got[0])
+            if count >= PAIRS:
+                if (out := self.settled(held)) is not None:
+                    yield out
+                held, count = [], 0
+        if held and (out := self.settled(held)) is not None:
+            yield out
+
+
+def links_in_cells(rows: DataFrame, cosine: float, kind: type, plans: dict[int, tuple[int, float, int]]) -> DataFrame:
+    """From the rows of cells (code, part, tile_a, tile_b, tile, id, many, v, lists), sorted runs of one cell's tile pair g: id,
+    n (members of the classes that it is linked with and that are counted here) and root, the smallest id that it hangs
+    together with here. Of one id there may be several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for t in grouped(batches, "g"):
-            if (got := one(t)) is not None:
-                held.append(got)
-            if len(held) >= 200:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["id", "n", "root"])
-                held = []
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], ["id", "n", "root"])
+            if t.num_rows > 1:
+                cell, t = Cell(t, cosine, kind, plans), None  # its rows are let go
+                for got in cell.links():
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in got], ["id", "n", "root"])
 
     return map_arrow(rows, run, "id long, n long, root long")
 
@@ -227,7 +376,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, miss: float = MISS) -
     classes = stored(classes, "classes")
     width = np.dtype(kind).itemsize
     largest = classes.groupBy("label", (F.octet_length("v") / width).cast("int").alias("dim")).agg(F.count("*").alias("c")).groupBy("dim").agg(F.max("c").alias("c")).collect()
-    plans = {r.dim: plan(r.c, r.dim, cosine, miss) for r in largest}
+    plans = {r.dim: (*(p := plan(r.c, r.dim, cosine, miss)), min(p[0], -(-r.c // CELL))) for r in largest}
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -235,26 +384,28 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, miss: float = MISS) -
             lists: list = [None] * len(v)
             for size in {len(r) for r in v}:
                 at = [i for i, r in enumerate(v) if len(r) == size]
-                words, least = plans[size // width]
+                words, least, _ = plans[size // width]
                 for lo in range(0, len(at), 2000):
                     some = at[lo : lo + 2000]
-                    for i, got in zip(some, decode(units([v[i] for i in some], kind), words, least)):
+                    for i, got in zip(some, listed(units([v[i] for i in some], kind), words, least)):
                         lists[i] = got
-            filters = pa.array([x.astype(np.int32) for x in lists], pa.list_(pa.int32()))
-            return pa.RecordBatch.from_arrays([*batch.select(["label", "id", "many", "v"]).columns, filters], ["label", "id", "many", "v", "filters"])
+            size = pa.array([len(x) for x in v], pa.int32())
+            return pa.RecordBatch.from_arrays([*batch.select(["label", "id", "many", "v"]).columns, size, pa.array(lists, pa.binary())], ["label", "id", "many", "v", "size", "lists"])
 
         return one
 
-    decoded = map_batches(classes.select("label", "id", "many", "v"), make, "label string, id long, many long, v binary, filters array<int>")
+    decoded = map_batches(classes.select("label", "id", "many", "v"), make, "label string, id long, many long, v binary, size int, lists binary")
     decoded = stored(decoded, "decoded")
-    # buckets and tiles are settled on narrow rows; vectors are joined on once, on their way to the tiles
-    dealt = decoded.select("id", F.explode("filters").alias("f"), "label", F.octet_length("v").alias("size")).select("id", "f", F.xxhash64("label", "size", "f").alias("bucket"))
-    large = dealt.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > TILE).select("bucket", F.ceil(F.col("c") / TILE).cast("int").alias("tiles"))
-    tiled = dealt.join(large, "bucket", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
+    # cells beyond their size, a CELL-th of all rows at the most, are cut into tiles; vectors are shuffled once, to their cells
+    key = ["label", "size", "code", "part"]
+    large = cells(decoded, plans, width, whole=False).groupBy(key).agg(F.sum("c").alias("c")).where(F.col("c") > 2 * CELL)
+    large = large.select(F.xxhash64(*key).alias("cell"), F.ceil(F.col("c") / CELL).cast("int").alias("tiles"))
+    dealt = cells(decoded, plans, width, whole=True).withColumn("cell", F.xxhash64(*key)).drop("label", "size")
+    tiled = dealt.join(F.broadcast(large), "cell", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    tiled = tiled.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other")).withColumn("g", F.xxhash64("bucket", "tile_a", "tile_b"))
-    tiled = tiled.select("g", "tile_a", "tile_b", "tile", "f", "id").join(decoded.drop("label"), "id")
-    found = stored(links_in_buckets(tiled.repartition("g").sortWithinPartitions("g"), cosine, kind), "links")
+    tiled = tiled.withColumn("tile_a", F.least("tile", "other")).withColumn("tile_b", F.greatest("tile", "other")).withColumn("g", F.xxhash64("cell", "tile_a", "tile_b"))
+    tiled = tiled.select("g", "code", "part", "tile_a", "tile_b", "tile", "id", "many", "v", "lists")
+    found = stored(links_in_cells(tiled.repartition("g").sortWithinPartitions("g"), cosine, kind, plans), "links")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected(found.select(F.col("id").alias("a"), F.col("root").alias("b"))).select(F.col("id").alias("_id"), "component")
     known = classes.select("label", "d", "id", "many").join(counts, "id", "left").join(parts, F.col("id") == F.col("_id"), "left")

@@ -102,8 +102,8 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
         for lo, hi in zip(cuts, cuts[1:]):
             if held and k[lo] != at:
-                yield pa.concat_tables(held)
-                held = []
+                run, held = [pa.concat_tables(held)], []
+                yield run.pop()
             held.append(t.slice(lo, hi - lo))
             at = k[lo]
     if held:

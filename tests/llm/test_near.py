@@ -143,6 +143,33 @@ def test_near_vectors(spark, monkeypatch):
     assert {i: (r.n_links, r.component_id) for i, r in got.items()} == {i: (int(hit[i].sum()), wanted[i]) for i in range(600)}
 
 
+def test_vectors_go_to_cells_not_to_directions(spark, monkeypatch):
+    """A vector is sent to a label's codes, not to each direction; cells of one label in parts and in tiles, a few pairs at once."""
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(900, 24))
+    v[300:600] = v[:300] + rng.normal(size=(300, 24)) * rng.uniform(0, 0.5, (300, 1))
+    v[700:] = v[700] + rng.normal(size=(200, 24)) * 0.2
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)]
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.93
+    np.fill_diagonal(hit, False)
+    wanted = components(range(900), np.argwhere(hit))
+    made, stored = {}, cap_filters.map_arrow
+
+    def seen(df, run, schema):
+        made[tuple(schema.split())[0], "lists" in schema and "code" in schema] = out = stored(df, run, schema)
+        return out
+
+    monkeypatch.setattr(cap_filters, "map_arrow", seen)
+    for cell in (1 << 17, 300, 60):
+        monkeypatch.setattr(cap_filters, "CELL", cell)
+        monkeypatch.setattr(cap_filters, "PAIRS", 500)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in cap_filters.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+        assert got == {i: (int(hit[i].sum()), wanted[i]) for i in range(900)}
+        if cell > 900:
+            assert made["label", True].count() <= cap_filters.CODES * 900
+
+
 def test_near_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (3, [1.0, 0.0], 2), (4, [1.0, 0.0], None), (5, None, 1), (6, [], 1), (7, [0.0, -0.0], 1), (8, [1.0, None], 1), (9, [nan, 1.0], 1), (10, [inf, 1.0], 1), (11, [1.0, 0.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.0], 1), (12, [1.0, 0.0], 1)]
