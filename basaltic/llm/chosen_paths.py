@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import KEPT_CHARS, connected, map_arrow, map_batches, stored, texts_of, tool
+from basaltic.llm.common import KEPT_CHARS, connected, dropped, map_arrow, map_batches, stored, texts_of, tool
 
 #: Places of a sketch; members of a node that are compared at once; pairs across components for each member of a large node.
 PLACES, NODE, ACROSS = 128, 128, 1024
@@ -397,11 +397,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least, trees, levels, copies = forest_size(reps.count(), percent / 100)
     every = stored(first_nodes(reps, trees, levels), "nodes")
     sizes = every.groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
-    nodes = stored(every.join(sizes, "p"), "shared")
+    nodes = shared = stored(every.join(sizes, "p"), "shared")
+    dropped(every)
     # of the small nodes with the same members (by two 64-bit marks), of which the trees have many, one is looked at
     marks = nodes.where(F.col("c") <= NODE).groupBy("p", "c").agg(F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
     once = marks.groupBy("c", "x", "y").agg(F.min("p").alias("p")).select("p")
     nodes = stored(nodes.where(F.col("c") > NODE).unionByName(nodes.where(F.col("c") <= NODE).join(once, "p").select(nodes.columns)), "once")
+    dropped(shared)
 
     # forests of the most similar pairs, in nodes or chunks of nodes; each member's best pair is confirmed
     chunk = F.pmod(F.xxhash64("id", "p"), F.ceil(F.col("c") / NODE))

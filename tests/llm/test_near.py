@@ -1,11 +1,15 @@
 """Near-duplicate texts and vectors against brute force, and the pipeline."""
 
+from collections import Counter
+from pathlib import Path
+
 import numpy as np
 import pytest
 
 import corpus_pipeline
 from basaltic.llm import bpe_codec, cap_filters, chosen_paths, rule_ensemble, secrets, source_mix
 from basaltic.llm.common import connected
+from basaltic.session import shared_dir
 from basaltic.sources.tables import table
 from tests.conftest import DATA
 
@@ -114,6 +118,20 @@ def test_near_texts_odd_rows(spark):
     assert chosen_paths.near_duplicates(docs.limit(0), 2).count() == 0
 
 
+def test_superseded_tables_are_dropped(spark):
+    """Nodes that a later table replaces, and all rounds of the components but the last, leave the shared folder."""
+    at = Path(shared_dir(spark).removeprefix("file://")) / "basaltic"
+    kinds = lambda: Counter(p.name.split("-")[0] for p in at.glob("*"))
+    docs = spark.createDataFrame([(i, f"a b c d {i // 2}") for i in range(40)], "doc_id long, text string")
+    before = kinds()
+    assert chosen_paths.near_duplicates(docs, 2).where("kept").count() == 20
+    new = kinds() - before
+    assert new["once"] == 1 and not new["nodes"] and not new["shared"]
+    before = kinds()
+    assert connected(spark.createDataFrame([(i, i + 1) for i in range(50)], "a long, b long")).where("component = 0").count() == 50
+    assert (kinds() - before)["pairs"] == 1
+
+
 def test_components(spark):
     rng = np.random.default_rng(2)
     chain = [(i, i + 1) for i in range(300)]
