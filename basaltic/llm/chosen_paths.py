@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basaltic.llm.common import KEPT_CHARS, connected, dropped, map_arrow, map_batches, stored, texts_of, tool
@@ -91,26 +91,39 @@ def digest(hashes: bytes) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n (size of the set), d (digest of the set; null if empty), sketch and s, a byte of each of its places."""
+    """doc_id, n (size of the set), d (digest of the set; null if empty), and the sketch as s, the lowest byte of each of its places, and upper, the other three."""
 
     def make():
         own = tool(Shingles, words)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            n, d, s, short = [], [], [], []
+            n, d, s, upper = [], [], [], []
             for text in texts_of(batch):
                 h = own.of(text)
                 n.append(len(h))
                 d.append(digest(h.tobytes()) if len(h) else None)
                 least = own.sketch(h) if len(h) else None
-                s.append(least.tobytes() if len(h) else None)
-                short.append(least.astype("u1").tobytes() if len(h) else None)
-            binary = [pa.array(x, pa.binary()) for x in (d, s, short)]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *binary], ["doc_id", "n", "d", "sketch", "s"])
+                s.append(least.astype("u1").tobytes() if len(h) else None)
+                upper.append(least.view("u1").reshape(PLACES, 4)[:, 1:].tobytes() if len(h) else None)
+            binary = [pa.array(x, pa.binary()) for x in (d, s, upper)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *binary], ["doc_id", "n", "d", "s", "upper"])
 
         return one
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, d binary, sketch binary, s binary")
+    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n long, d binary, s binary, upper binary")
+
+
+def _bytes(batch: pa.RecordBatch | pa.Table, column: str, each: int = 1) -> np.ndarray:
+    """So many bytes for each place, of every row."""
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), "u1").reshape(-1, PLACES * each)
+
+
+def _sketch(batch: pa.RecordBatch) -> np.ndarray:
+    """The sketches, from s and upper."""
+    out = np.empty((batch.num_rows, PLACES, 4), "u1")
+    out[:, :, 0] = _bytes(batch, "s")
+    out[:, :, 1:] = _bytes(batch, "upper", 3).reshape(-1, PLACES, 3)
+    return out.view("<u4").reshape(-1, PLACES)
 
 
 def branch(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,7 +179,7 @@ def first_nodes(reps: DataFrame, trees: int, levels: int) -> DataFrame:
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, PLACES)
+            sketch = _sketch(batch)
             ids = batch.column("id").to_numpy()
             who, where = [], []
             for tree in range(trees):
@@ -181,7 +194,7 @@ def first_nodes(reps: DataFrame, trees: int, levels: int) -> DataFrame:
 
         return one
 
-    return map_batches(reps.select("id", "sketch"), make, "p long, id long")
+    return map_batches(reps.select("id", "s", "upper"), make, "p long, id long")
 
 
 def next_nodes(rows: DataFrame, reps: DataFrame, copies: int) -> DataFrame:
@@ -189,14 +202,14 @@ def next_nodes(rows: DataFrame, reps: DataFrame, copies: int) -> DataFrame:
 
     def make():
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), "<u4").reshape(-1, PLACES)
+            sketch = _sketch(batch)
             nodes = batch.column("p").to_numpy().view(np.uint64)
             member, node = (np.concatenate(c) for c in zip(*(branch(nodes ^ _mix(np.array([k], np.uint64)), sketch) for k in range(copies))))
             return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), batch.column("id").take(pa.array(member))], ["p", "id"])
 
         return one
 
-    return map_batches(rows.select("p", "id").join(reps.select("id", "sketch"), "id"), make, "p long, id long").distinct()
+    return map_batches(rows.select("p", "id").join(reps.select("id", "s", "upper"), "id"), make, "p long, id long").distinct()
 
 
 def runs(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
@@ -228,8 +241,7 @@ def _groups(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     """ids and short sketches of a table, and where its runs of g begin and end."""
     g = t.column("g").to_numpy()
     cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
-    s = np.frombuffer(b"".join(t.column("s").to_pylist()), "u1").reshape(-1, PLACES)
-    return t.column("id").to_numpy(), s, cuts[:-1], cuts[1:]
+    return t.column("id").to_numpy(), _bytes(t, "s"), cuts[:-1], cuts[1:]
 
 
 def forests(rows: DataFrame, least: int) -> DataFrame:
@@ -277,19 +289,44 @@ def _crossing(s: np.ndarray, part: np.ndarray, minor: np.ndarray, least: int) ->
 
 
 def involved(rows: DataFrame, least: int) -> DataFrame:
-    """From rows (g, id, part, minor, s): those that are in any candidate pair across parts within their g. Rows, not pairs."""
+    """From rows (g, id, part, minor, s): g, id and part of those that are in any candidate pair across parts within their g, and
+    head, the first row's id of those that such pairs connect there. Rows, not pairs."""
 
     def work(t: pa.Table) -> pa.RecordBatch | None:
-        _, s, begin, end = _groups(t)
-        part, minor = t.column("part").to_numpy(), t.column("minor").to_numpy(zero_copy_only=False)
-        keep = np.zeros(len(part), bool)
+        ids, s, begin, end = _groups(t)
+        g, part, minor = t.column("g").to_numpy(), t.column("part").to_numpy(), t.column("minor").to_numpy(zero_copy_only=False)
+        out = []
         for lo, hi in zip(begin.tolist(), end.tolist()):
+            head, paired = np.arange(hi - lo), np.zeros(hi - lo, bool)
             for i, at in _crossing(s[lo:hi], part[lo:hi], minor[lo:hi], least):
-                keep[lo + i] = True
-                keep[lo + at] = True
-        return t.filter(pa.array(keep)).select(["g", "id", "part", "minor", "s"]).combine_chunks().to_batches()[0] if keep.any() else None
+                at = np.append(at, i)
+                paired[at] = True
+                same = np.zeros(hi - lo, bool)
+                same[head[at]] = True
+                head[same[head]] = head[at].min()
+            at = lo + np.flatnonzero(paired)
+            out.append(np.stack([g[at], ids[at], part[at], ids[lo + head[at - lo]]]))
+        found = np.concatenate(out, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["g", "id", "part", "head"]) if found.size else None
 
-    return map_arrow(rows.repartition("g").sortWithinPartitions("g"), lambda batches: runs(batches, work), "g long, id long, part long, minor boolean, s binary")
+    return map_arrow(rows.repartition("g").sortWithinPartitions("g"), lambda batches: runs(batches, work), "g long, id long, part long, head long")
+
+
+def gathered(met: DataFrame) -> DataFrame:
+    """From rows (g, id, part, head) of involved, rows (g, id, part) in which every candidate pair shares a g.
+
+    A family of similar texts meets in many nodes, in each with other members. Twice, what candidate pairs connect in a node takes
+    the least name that its members have anywhere. What then has one name is one group if it has no more than 16 * NODE
+    members, so that most sets are shuffled once; larger ones keep their nodes' groups.
+    """
+    rows = met.withColumn("family", F.col("head"))
+    for _ in range(2):
+        for keys in (["id"], ["g", "head"]):
+            rows = rows.withColumn("family", F.min("family").over(Window.partitionBy(*keys)))
+    rows = stored(rows, "families")
+    large = rows.select("family", "id").distinct().groupBy("family").agg(F.count("*").alias("c")).where(F.col("c") > 16 * NODE)
+    rows = rows.join(large, "family", "left")
+    return rows.select(F.when(F.col("c").isNull(), F.xxhash64("family")).otherwise(F.xxhash64("g", "head")).alias("g"), "id", "part").distinct()
 
 
 def meet(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -303,17 +340,18 @@ def meet(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def joined_parts(rows: DataFrame, least: int, percent: int) -> DataFrame:
-    """From rows (g, id, part, minor, s, set): links a, b confirmed on the full sets that join parts within their g. Pairs of
+    """From rows (g, id, part, s, set): links a, b confirmed on the full sets that join parts within their g. Pairs of
     parts that have been joined are not looked at again, so there are fewer links than rows."""
 
     def work(t: pa.Table) -> pa.RecordBatch | None:
         ids, s, begin, end = _groups(t)
-        part, minor = t.column("part").to_numpy().copy(), t.column("minor").to_numpy(zero_copy_only=False)
+        part = t.column("part").to_numpy().copy()
         sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("set")]
         out = []
         for lo, hi in zip(begin.tolist(), end.tolist()):
             own = part[lo:hi]
-            for i, at in _crossing(s[lo:hi], own.copy(), minor[lo:hi], least):
+            parts, k = np.unique(own, return_counts=True)
+            for i, at in _crossing(s[lo:hi], own.copy(), own != parts[k.argmax()], least):
                 like = (s[lo + at] == s[lo + i]).sum(axis=1)
                 for j in at[np.argsort(-like, kind="stable")]:
                     if own[j] != own[i] and meet(sets[lo + i], sets[lo + j], percent):
@@ -391,9 +429,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     hashes; a pair at the threshold is found with a chance of 1 - MISS at least, also in nodes that branch all further levels. component_id is the smallest id of the
     component; rows with a null id stay alone, and repeated ids belong to the components of all their rows.
     """
-    rows = stored(sketches(docs, words), "sketches")
-    whole = rows.where("d is not null and doc_id is not null")
-    reps = stored(whole.groupBy("d").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch"), F.first("s").alias("s")), "classes")
+    every = stored(sketches(docs, words), "sketches")
+    whole = every.where("d is not null and doc_id is not null")
+    reps = stored(whole.groupBy("d").agg(F.min("doc_id").alias("id"), F.first("s").alias("s"), F.first("upper").alias("upper")), "classes")
+    rows = stored(every.select("doc_id", "n", "d"), "rows")
+    dropped(every)
     least, trees, levels, copies = forest_size(reps.count(), percent / 100)
     every = stored(first_nodes(reps, trees, levels), "nodes")
     sizes = every.groupBy("p").agg(F.count("*").alias("c")).where("c > 1")
@@ -431,9 +471,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         met = stored(involved(spread.select(F.xxhash64("p", "chunk").alias("g"), "id", "part", "minor").join(short, "id"), least), "involved")
         if not met.isEmpty():
             more = met.select("id").distinct() if sets is None else met.select("id").distinct().join(sets.select("id"), "id", "left_anti")
-            new = stored(full_sets(docs, stored(reps.select("id", "d").join(more, "id"), "wanted"), words), "sets")
+            new = stored(full_sets(docs, stored(reps.select("id", "d", "s").join(more, "id"), "wanted"), words), "sets")
             sets = new if sets is None else sets.unionByName(new)
-            new = stored(joined_parts(met.join(sets, "id"), least, percent), "links")
+            new = stored(joined_parts(gathered(met).join(sets, "id"), least, percent), "links")
             if not new.isEmpty():
                 links = links.unionByName(new)
                 parts = connected(links)

@@ -118,6 +118,38 @@ def test_near_texts_odd_rows(spark):
     assert chosen_paths.near_duplicates(docs.limit(0), 2).count() == 0
 
 
+def test_sets_of_a_family_are_shuffled_once(spark, monkeypatch):
+    """Texts that are similar but not linked meet in nodes of many trees; their full sets go to one group each. Sketches are dropped."""
+    seen = []
+    real = chosen_paths.joined_parts
+    monkeypatch.setattr(chosen_paths, "joined_parts", lambda rows, *rest: seen.extend(r.id for r in rows.select("id").collect()) or real(rows, *rest))
+    at = Path(shared_dir(spark).removeprefix("file://")) / "basaltic"
+    before = {p.name for p in at.glob("*")}
+    rows = [(i * 100 + j, " ".join([f"f{i}x{k}" for k in range(87)] + [f"d{i}y{j}x{k}" for k in range(13)])) for i in range(4) for j in range(30)]  # 87 of 113
+    got = chosen_paths.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()
+    assert all(r.kept for r in got) and len(got) == len(rows)
+    assert len(seen) > 60 and max(Counter(seen).values()) == 1
+    assert not [p for p in at.glob("sketches-*") if p.name not in before]
+
+
+@pytest.mark.parametrize("node", [1, 2])
+def test_gathered(spark, monkeypatch, node):
+    """A family of up to 16 * NODE members is one group, a larger one keeps its nodes' groups; all pairs of a group and head meet."""
+    monkeypatch.setattr(chosen_paths, "NODE", node)
+    star = [(g, i, i % 3, 0) for g in range(20) for i in (0, g + 1)]  # 21 members
+    chain = [(200 + g, 200 + i, i % 3, 200 + g) for g in range(20) for i in (g, g + 1)]  # longer than names go
+    met = [*star, *chain, *((100 + g, i, i, 50) for g in range(5) for i in (50, 51, 52 + g)), (7, 70, 1, 70), (7, 71, 2, 70)]
+    got = [tuple(r) for r in chosen_paths.gathered(spark.createDataFrame(met, "g long, id long, part long, head long")).collect()]
+    held = {}
+    for g, i, part in got:
+        held.setdefault(g, set()).add((i, part))
+    wanted = {}
+    for g, i, part, head in met:
+        wanted.setdefault((g, head), set()).add((i, part))
+    assert all(any(x <= y for y in held.values()) for x in wanted.values())
+    assert len(got) == len(set(got)) and sum(i < 200 for _, i, _ in got) == (40 if node == 1 else 21) + 7 + 2
+
+
 def test_superseded_tables_are_dropped(spark):
     """Nodes that a later table replaces, and all rounds of the components but the last, leave the shared folder."""
     at = Path(shared_dir(spark).removeprefix("file://")) / "basaltic"
