@@ -26,12 +26,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import KEPT_CHARS, map_arrow, partitions_of, shared_dir, texts_of, tool
-from basaltic.llm.splitting import splitter
+from basaltic.llm.common import KEPT_CHARS, SLICE_CHARS, map_arrow, partitions_of, shared_dir, texts_of, tool
+from basaltic.llm.splitting import PAIRS, SURELY_CUT, splitter, sure_cuts
 
 MAGIC, VERSION, HEAD = b"BPKD", 1, struct.Struct("<4sBBHIQQ")
-#: Ids in a block (a multiple of 8, so blocks fill whole bytes), distinct pieces in each of a worker's two memories, ids read at once.
-BLOCK, MEMO, AT_ONCE = 4096, 250_000, 1 << 20
+#: Ids in a block (a multiple of 8, so blocks fill whole bytes), distinct parts in each of a worker's two memories, ids read at once,
+#: parts in a line for the library.
+BLOCK, MEMO, AT_ONCE, LINE = 4096, 250_000, 1 << 20, 64
 NULL_ID = -(1 << 63)
 
 
@@ -136,72 +137,102 @@ class Shard:
 
 
 class Encoder:
-    """The tokenizers library, with its ids of distinct pieces remembered: the pattern cuts a text, and the library gives
-    each piece the same ids alone as in its text. A text that holds a special string goes to the library whole."""
+    """The tokenizers library, asked for distinct parts of many texts at a time, with the ids of parts remembered. Texts are cut where the
+    pattern surely ends a match, so the library gives a part the same ids alone as in its text; by another pattern, at all of its
+    matches. A text that holds a special string goes to the library whole."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pattern = splitter(pattern)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.pattern = None if pattern == SURELY_CUT else splitter(pattern)
+        self.in_lines = self.pattern is None and not any(" " in s or "\n" in s for s in self.special)
         self.bits = width(self.library.get_vocab_size(with_added_tokens=True))
-        self.memo: dict[str, bytes] = {}  # pieces met lately; a full one becomes the elder, from which those met again come back
-        self.elder: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}  # parts met lately; a full one becomes the elder, from which those met again come back
+        self.elder: dict[bytes, bytes] = {}
         self.bytes_in = np.zeros(1 << self.bits, np.int64)  # of each id; the vocabulary spells a byte with one letter
         for token, i in self.library.get_vocab(with_added_tokens=True).items():
             self.bytes_in[i] = len(token)
 
-    def _ask(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of distinct pieces. Those that are a space and letters go to the library in one string, which it cuts
-        before each space as it would apart; the byte lengths of the ids then say which belong to which piece."""
-        out: dict[str, bytes] = {}
-        words = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
-        if len(words) > 8:
-            line = "".join(words)
-            ids = np.array(self.library.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-            token_ends = np.cumsum(self.bytes_in[ids])
-            ends = np.cumsum(np.fromiter(map(len, words if line.isascii() else [p.encode("utf-8", "surrogatepass") for p in words]), np.int64, len(words)))
-            cuts = np.searchsorted(token_ends, ends)
-            if cuts[-1] < len(token_ends) and (token_ends[cuts] == ends).all():
-                raw, at = ids.tobytes(), 0
-                for p, cut in zip(words, (4 * cuts + 4).tolist()):
-                    out[p] = raw[at:cut]
-                    at = cut
-                pieces = [p for p in pieces if p not in out]
-        for p, e in zip(pieces, self.library.encode_batch_fast(pieces, add_special_tokens=False)):
+    def _ask(self, parts: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of distinct parts. Most go to the library in lines, which it cuts before a space or a newline that something
+        visible follows, as it would apart; the byte lengths of the ids then say which belong to which part."""
+        out: dict[bytes, bytes] = {}
+        if self.in_lines:
+            led = [p for p in parts if p[0] == 0x20 and len(p) > 1 and PAIRS[0x20 | p[1] << 8] & 2]
+            bare = [p for p in parts if PAIRS[0x0A | p[0] << 8] & 8]  # these get a newline before them, which is one id
+            spelled = led + [b"\n" + p for p in bare]
+            lines = [b"".join(spelled[at : at + LINE]).decode() for at in range(0, len(spelled), LINE)]
+            ids = np.array([i for e in self.library.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], "<u4")
+            token_ends, ends = np.cumsum(self.bytes_in[ids]), np.cumsum(np.fromiter(map(len, spelled), np.int64, len(spelled)))
+            after = np.searchsorted(token_ends, ends)
+            if spelled and after[-1] == len(ids) - 1 and (token_ends[after] == ends).all():
+                raw, cuts = ids.tobytes(), [0, *(4 * after + 4).tolist()]
+                out = {p: raw[a:b] for p, a, b in zip(led, cuts, cuts[1:])}
+                out.update((p, raw[a + 4 : b]) for p, a, b in zip(bare, cuts[len(led) :], cuts[len(led) + 1 :]))
+        apart = [p for p in parts if p not in out]
+        for p, e in zip(apart, self.library.encode_batch_fast([p.decode() for p in apart], add_special_tokens=False)):
             out[p] = np.array(e.ids, "<u4").tobytes()
         return out
 
+    def _starts(self, texts: list[str], data: bytes, ends: np.ndarray) -> np.ndarray:
+        if self.pattern is None:
+            return sure_cuts(data, ends)
+        parts = [p for text in texts for p in self.pattern.findall(text)]
+        if "".join(parts) != "".join(texts):  # there is text that the pattern doesn't match: nothing is cut
+            return np.unique(ends[:-1][np.diff(ends) > 0])
+        at = np.cumsum([0, *(len(p.encode()) for p in parts)])
+        return np.unique(at[at < len(data)])
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Pieces that are new in any of the texts are learnt in one go."""
-        known = self.memo.get
-        cut = [None if any(s in text for s in self.special) else self.pattern.findall(text) for text in texts]
-        ids = [None if pieces is None else list(map(known, pieces)) for pieces in cut]
-        holes = [(pieces, found, places) for pieces, found in zip(cut, ids) if found is not None and (places := _nones(found))]
-        missing, elder = {pieces[k] for pieces, _, places in holes for k in places}, self.elder
+        """The ids of each text. Equal parts of all texts are looked up or learnt once."""
+        whole = {k: text for k, text in enumerate(texts) if any(s in text for s in self.special)}
+        cut = ["" if k in whole else text for k, text in enumerate(texts)] if whole else texts
+        raw = [text.encode() for text in cut]
+        data, ends = b"".join(raw), np.cumsum([0, *map(len, raw)])
+        starts = self._starts(cut, data, ends)
+        offsets = np.append(starts, len(data)).astype(np.int64)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        found = self._look_up(parts.dictionary.to_pylist())
+        ids, counts = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        # each part's ids stand from its distinct one's place on
+        which = parts.indices.to_numpy()
+        count = counts[which]
+        to = np.cumsum(count)
+        ids = ids[np.repeat((np.cumsum(counts) - counts)[which] - (to - count), count) + np.arange(count.sum())]
+        at = np.append(to - count, len(ids))[np.searchsorted(starts, ends)].tolist()
+        out = [ids[a:b] for a, b in zip(at, at[1:])]
+        for k, e in zip(whole, self.library.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
+            out[k] = np.array(e.ids, "<u4")
+        return out
+
+    def _look_up(self, parts: list[bytes]) -> list[bytes]:
+        found, elder = list(map(self.memo.get, parts)), self.elder
+        missing = [p for p, i in zip(parts, found) if i is None]
         new = {p: elder[p] for p in missing if p in elder}
         new.update(self._ask([p for p in missing if p not in new]))
-        for pieces, found, places in holes:
-            for k in places:
-                found[k] = new[pieces[k]]
-        if len(self.memo) + len(new) > MEMO:
-            self.memo, self.elder = {}, self.memo
-        self.memo.update(new if max(map(len, new), default=0) <= KEPT_CHARS else {p: i for p, i in new.items() if len(p) <= KEPT_CHARS})
-        whole = iter(self.library.encode_batch_fast([t for t, pieces in zip(texts, cut) if pieces is None], add_special_tokens=False))
-        return [np.array(next(whole).ids, "<u4") if found is None else np.frombuffer(b"".join(found), "<u4") for found in ids]
-
-
-def _nones(found: list) -> list[int]:
-    """The places of None in a list, most of which is not."""
-    out, at = [], -1
-    try:
-        while True:
-            at = found.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
+        kept = [p for p in missing if len(p) <= KEPT_CHARS]
+        for at in range(0, len(kept), MEMO):
+            some = kept[at : at + MEMO]
+            if len(self.memo) + len(some) > MEMO:
+                self.memo, self.elder = {}, self.memo
+            self.memo.update((p, new[p]) for p in some)
+        return [new[p] if i is None else i for p, i in zip(parts, found)]
+
+
+def groups_of(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
+    """doc_ids and texts of a batch's rows by groups of SLICE_CHARS characters, or of one longer text."""
+    texts, first, size = texts_of(batch), 0, 0
+    ids = batch.column("doc_id").to_pylist()
+    for k, text in enumerate(texts):
+        if size and size + len(text) > SLICE_CHARS:
+            yield ids[first:k], texts[first:k]
+            first, size = k, 0
+        size += len(text)
+    if first < len(texts):
+        yield ids[first:], texts[first:]
 
 
 def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0) -> list[tuple[int, str, int, int, int]]:
@@ -226,11 +257,9 @@ def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0
                 store.create_dir(root, recursive=True)
                 sink = store.open_output_stream(name)
                 writer = ShardWriter(sink, coder.bits)
-            for at in range(0, batch.num_rows, 64):
-                some = batch.slice(at, 64)
-                for doc, text in zip(some.column("doc_id").to_pylist(), texts_of(some)):
-                    # one text at a time: the pieces of many fall out of the processor's cache
-                    writer.add(doc, np.append(coder.encode([text])[0], np.uint32(end_id)))
+            for ids, texts in groups_of(batch):
+                for doc, got in zip(ids, coder.encode(texts)):
+                    writer.add(doc, np.append(got, np.uint32(end_id)))
         if writer is not None:
             ids, count = writer.close()
             sink.close()

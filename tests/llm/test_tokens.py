@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from basaltic.llm import bpe_codec, packed_ids, token_counts
+from basaltic.llm import bpe_codec, packed_ids, splitting, token_counts
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_tokens string, n_bytes string"
 ODD = [
@@ -135,6 +135,57 @@ def seconds(run):
     return time.process_time() - at
 
 
+def test_sure_cuts_keep_all_matches():
+    assert splitting.SURELY_CUT == public_tokenizers.PATTERN
+    rng, full = random.Random(6), splitting.splitter(public_tokenizers.PATTERN).full
+    letters = [*map(chr, range(0x80)), *"    \n\n''..__aZ09", "'s", "'ll", *"éßñ中。—“×\x85\xa0\u1680\u2003\u202f\u3000\ufeff\U0001f600"]
+    rows = ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(20_000)]
+    raw = [t.encode() for t in rows]
+    data, ends = b"".join(raw), np.cumsum([0, *map(len, raw)])
+    starts = splitting.sure_cuts(data, ends).tolist()
+    assert set(ends[ends < len(data)].tolist()) <= set(starts)
+    parts = [data[a:b].decode() for a, b in zip(starts, [*starts[1:], len(data)])]
+    assert [p for part in parts for p in full.findall(part)] == [p for t in rows for p in full.findall(t)]
+    assert len(splitting.sure_cuts(b"", np.array([0]))) == len(splitting.sure_cuts(b"", np.array([0, 0]))) == 0
+    assert list(splitting.sure_cuts(b"a", np.array([0, 0, 1, 1]))) == [0]
+
+
+@pytest.mark.parametrize("memo", [1, 50, 250_000])
+@pytest.mark.parametrize("pattern", [public_tokenizers.PATTERN, f"(?:{public_tokenizers.PATTERN})", r"\p{L}+"])
+def test_encoder_on_odd_texts(monkeypatch, memo, pattern):
+    monkeypatch.setattr(packed_ids, "MEMO", memo)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own = packed_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"), pattern)
+    some = texts(600)
+    rows = [*some, "", " ", "  ", "\n", " \n x\n\ny  z \n", "<|endoftext|>", "a <|endoftext|> b", "", "中文。 字", "x" * 300, "\x00", *some]
+    wanted = [e.ids for e in library.encode_batch(rows, add_special_tokens=False)]
+    assert [x.tolist() for x in own.encode(rows)] == wanted
+    assert [own.encode([t])[0].tolist() for t in rows] == wanted
+    assert own.encode([]) == [] and [len(x) for x in own.encode(["", ""])] == [0, 0]
+    assert len(own.memo) <= memo and len(own.elder) <= memo
+
+
+def test_texts_stay_in_order_over_groups(monkeypatch):
+    monkeypatch.setattr(packed_ids, "SLICE_CHARS", 10)
+    rows = list(enumerate([None, "", "12345", "123456", "x" * 50, "y", None, "z"]))
+    batch = pa.RecordBatch.from_pylist([{"doc_id": k, "text": t} for k, t in rows])
+    got = list(packed_ids.groups_of(batch))
+    assert [len(ids) for ids, _ in got] == [3, 1, 1, 3]
+    assert [x for ids, some in got for x in zip(ids, some)] == [(k, t or "") for k, t in rows]
+    assert list(packed_ids.groups_of(batch.slice(0, 0))) == []
+
+
+def test_known_parts_take_less_time_than_the_pattern():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(2, 9))) for _ in range(5000)]
+    rows = [" ".join(rng.choices(words, k=500)) + ".\n" for _ in range(2000)]
+    own = packed_ids.Encoder(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    pattern = splitting.splitter(public_tokenizers.PATTERN)
+    own.encode(rows)
+    took = min(seconds(lambda: own.encode(rows)) for _ in range(3))
+    assert took < min(seconds(lambda: [pattern.findall(t) for t in rows]) for _ in range(3))
+
+
 @pytest.mark.parametrize("kind", ["letters", "unspaced"])
 def test_long_pieces_take_time_in_proportion(kind):
     codec = bpe_codec.Codec.load(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
