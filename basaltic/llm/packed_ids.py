@@ -22,17 +22,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basaltic.llm.common import KEPT_CHARS, SLICE_CHARS, map_arrow, partitions_of, shared_dir, texts_of, tool
+from basaltic.llm.common import KEPT_CHARS, map_arrow, partitions_of, shared_dir, texts_of, tool
 from basaltic.llm.splitting import PAIRS, SURELY_CUT, splitter, sure_cuts
 
 MAGIC, VERSION, HEAD = b"BPKD", 1, struct.Struct("<4sBBHIQQ")
 #: Ids in a block (a multiple of 8, so blocks fill whole bytes), distinct parts in each of a worker's two memories, ids read at once,
-#: parts in a line for the library.
-BLOCK, MEMO, AT_ONCE, LINE = 4096, 250_000, 1 << 20, 64
+#: parts in a line for the library, bytes of a part that is long, parts asked for or put in place at once, bytes of text encoded at once.
+BLOCK, MEMO, AT_ONCE, LINE, LONG, SOME, GROUP = 4096, 250_000, 1 << 20, 64, 4096, 1 << 16, 8_000_000
 NULL_ID = -(1 << 63)
 
 
@@ -147,8 +148,8 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pattern = None if pattern == SURELY_CUT else splitter(pattern)
-        self.in_lines = self.pattern is None and not any(" " in s or "\n" in s for s in self.special)
+        self.pattern, self.sure = splitter(pattern), pattern == SURELY_CUT
+        self.in_lines = self.sure and not any(" " in s or "\n" in s for s in self.special)
         self.bits = width(self.library.get_vocab_size(with_added_tokens=True))
         self.memo: dict[bytes, bytes] = {}  # parts met lately; a full one becomes the elder, from which those met again come back
         self.elder: dict[bytes, bytes] = {}
@@ -158,8 +159,15 @@ class Encoder:
 
     def _ask(self, parts: list[bytes]) -> dict[bytes, bytes]:
         """The ids of distinct parts. Most go to the library in lines, which it cuts before a space or a newline that something
-        visible follows, as it would apart; the byte lengths of the ids then say which belong to which part."""
+        visible follows, as it would apart; the byte lengths of the ids then say which belong to which part. Long ones, for which the
+        library takes much room, are cut at all matches first."""
         out: dict[bytes, bytes] = {}
+        for p in parts:
+            if len(p) > LONG and len(matches := self.pattern.findall(text := p.decode())) > 1 and "".join(matches) == text:
+                matches = [m.encode() for m in matches]
+                out[p] = b"".join(map(self._ask(list(dict.fromkeys(matches))).__getitem__, matches))
+        if out:
+            parts = [p for p in parts if p not in out]
         if self.in_lines:
             led = [p for p in parts if p[0] == 0x20 and len(p) > 1 and PAIRS[0x20 | p[1] << 8] & 2]
             bare = [p for p in parts if PAIRS[0x0A | p[0] << 8] & 8]  # these get a newline before them, which is one id
@@ -170,7 +178,7 @@ class Encoder:
             after = np.searchsorted(token_ends, ends)
             if spelled and after[-1] == len(ids) - 1 and (token_ends[after] == ends).all():
                 raw, cuts = ids.tobytes(), [0, *(4 * after + 4).tolist()]
-                out = {p: raw[a:b] for p, a, b in zip(led, cuts, cuts[1:])}
+                out.update((p, raw[a:b]) for p, a, b in zip(led, cuts, cuts[1:]))
                 out.update((p, raw[a + 4 : b]) for p, a, b in zip(bare, cuts[len(led) :], cuts[len(led) + 1 :]))
         apart = [p for p in parts if p not in out]
         for p, e in zip(apart, self.library.encode_batch_fast([p.decode() for p in apart], add_special_tokens=False)):
@@ -178,7 +186,7 @@ class Encoder:
         return out
 
     def _starts(self, texts: list[str], data: bytes, ends: np.ndarray) -> np.ndarray:
-        if self.pattern is None:
+        if self.sure:
             return sure_cuts(data, ends)
         parts = [p for text in texts for p in self.pattern.findall(text)]
         if "".join(parts) != "".join(texts):  # there is text that the pattern doesn't match: nothing is cut
@@ -197,13 +205,14 @@ class Encoder:
         parts = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
         found = self._look_up(parts.dictionary.to_pylist())
         ids, counts = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
-        # each part's ids stand from its distinct one's place on
-        which = parts.indices.to_numpy()
-        count = counts[which]
-        to = np.cumsum(count)
-        ids = ids[np.repeat((np.cumsum(counts) - counts)[which] - (to - count), count) + np.arange(count.sum())]
-        at = np.append(to - count, len(ids))[np.searchsorted(starts, ends)].tolist()
-        out = [ids[a:b] for a, b in zip(at, at[1:])]
+        which, first = parts.indices.to_numpy(), np.cumsum(counts) - counts
+        at = np.cumsum(np.append(0, counts[which]))  # where the ids of each part come to stand
+        every = np.empty(at[-1], "<u4")
+        for lo in range(0, len(which), SOME):
+            some, to = which[lo : lo + SOME], at[lo : lo + SOME + 1]
+            every[to[0] : to[-1]] = ids[np.repeat(first[some] - to[:-1], np.diff(to)) + np.arange(to[0], to[-1])]
+        cuts = at[np.searchsorted(starts, ends)].tolist()
+        out = [every[a:b] for a, b in zip(cuts, cuts[1:])]
         for k, e in zip(whole, self.library.encode_batch_fast(list(whole.values()), add_special_tokens=False)):
             out[k] = np.array(e.ids, "<u4")
         return out
@@ -212,7 +221,9 @@ class Encoder:
         found, elder = list(map(self.memo.get, parts)), self.elder
         missing = [p for p, i in zip(parts, found) if i is None]
         new = {p: elder[p] for p in missing if p in elder}
-        new.update(self._ask([p for p in missing if p not in new]))
+        unknown = [p for p in missing if p not in new]
+        for at in range(0, len(unknown), SOME):
+            new.update(self._ask(unknown[at : at + SOME]))
         kept = [p for p in missing if len(p) <= KEPT_CHARS]
         for at in range(0, len(kept), MEMO):
             some = kept[at : at + MEMO]
@@ -223,16 +234,15 @@ class Encoder:
 
 
 def groups_of(batch: pa.RecordBatch) -> Iterator[tuple[list[int | None], list[str]]]:
-    """doc_ids and texts of a batch's rows by groups of SLICE_CHARS characters, or of one longer text."""
-    texts, first, size = texts_of(batch), 0, 0
-    ids = batch.column("doc_id").to_pylist()
-    for k, text in enumerate(texts):
-        if size and size + len(text) > SLICE_CHARS:
-            yield ids[first:k], texts[first:k]
+    """doc_ids and texts of a batch's rows by groups of GROUP bytes of text, or of one longer text."""
+    first, size = 0, 0
+    for k, more in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
+        if size and size + (more or 0) > GROUP:
+            yield batch.column("doc_id").slice(first, k - first).to_pylist(), texts_of(batch.slice(first, k - first))
             first, size = k, 0
-        size += len(text)
-    if first < len(texts):
-        yield ids[first:], texts[first:]
+        size += more or 0
+    if first < batch.num_rows:
+        yield batch.column("doc_id").slice(first).to_pylist(), texts_of(batch.slice(first))
 
 
 def build(docs: DataFrame, folder: str, path: str, pattern: str, end_id: int = 0) -> list[tuple[int, str, int, int, int]]:

@@ -75,7 +75,8 @@ def splitter(pattern: str) -> Splitter:
     return Splitter(pattern)
 
 
-#: The pattern for which sure_cuts holds.
+#: Bytes looked at at once, and the pattern for which sure_cuts holds.
+SECTION = 1 << 20
 SURELY_CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -111,17 +112,16 @@ def sure_cuts(data: bytes, ends: np.ndarray) -> np.ndarray:
     stands around, and no white space that looks ahead is torn. Cuts within characters beyond ASCII, between them and other
     characters and within runs of white space are left out, but for the one before a space that something visible follows.
     """
-    size = len(data)
-    cut = np.zeros(size + 1, bool)
-    if size > 1:
-        of = np.frombuffer(data, "u1")
-        pair = of[:-1].astype("u2")
-        pair |= of[1:].astype("u2") << 8
+    of, size = np.frombuffer(data, "u1"), len(data)
+    cut, inner = np.zeros(size + 1, bool), ends[(ends > 0) & (ends < size)]
+    for lo in range(0, size - 1, SECTION):
+        a, b = max(0, lo - 1), min(lo + SECTION, size - 1)  # with the pair before, for bit 8
+        pair = of[a:b].astype("u2")
+        pair |= of[a + 1 : b + 1].astype("u2") << 8
         says = PAIRS[pair]
-        inner = ends[(ends > 0) & (ends < size)]
-        says[inner - 1] = 0  # two texts
-        cut[1:size] = says & 1
-        cut[: size - 1] |= (says & 2) > 0
-        cut[2:size] |= ((says[:-1] & 4) > 0) & ((says[1:] & 8) > 0)
+        says[inner[np.searchsorted(inner, a + 1) : np.searchsorted(inner, b, "right")] - 1 - a] = 0  # two texts
+        cut[a + 1 : b + 1] |= (says & 1) > 0
+        cut[a:b] |= (says & 2) > 0
+        cut[a + 2 : b + 1] |= ((says[:-1] & 4) > 0) & ((says[1:] & 8) > 0)
     cut[ends] = True
     return np.flatnonzero(cut[:size])
